@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Python's str.split() white space, as a Java character class (fixed values of the Unicode standard).
-WS = r"[\x09-\x0d\x1c-\x1f\x20\x85\xa0  -     　]"
+WS = r"[\x09-\x0d\x1c-\x1f\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def letters_digits(c: Column) -> Column:
