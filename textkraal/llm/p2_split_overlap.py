@@ -1,14 +1,14 @@
 """Problem 2: same or near-same records across splits.
 
-A weighted cosine join. The terms of a text are the pairs of neighbouring words of its normalised form, weighted by
-inverse document frequency and scaled to norm 1. Inverted lists hold each text's rarest terms, up to where the norm
+A weighted cosine join. The terms of a text are the triples of neighbouring words of its normalised form (pairs in a
+short text, both in one between), weighted by inverse document frequency and scaled to norm 1. Inverted lists hold each text's rarest terms, up to where the norm
 of the rest falls under RESIDUAL; the lists of the evaluation splits are joined with those of train, the products are
 added up per pair, and a pair is dropped where the sum and the residual norms, or the numbers of terms and their
 largest weights, cannot reach THRESHOLD. What is left gets the exact dot product of its 5-character pieces.
 
-The cosine threshold is far below what texts with 80 % of their 5-character pieces in common reach: a change between
-two such texts alters at least five neighbouring pieces, hence at most three word pairs, so that at most 4 % of the
-characters are places of change. tests/llm and the README give the recall measured against brute force.
+The cosine threshold is far below what texts with 80 % of their 5-character pieces in common reach: a change inside
+such a text costs about ten pieces of the two and at most three triples or two pairs, which leaves a cosine of 0.3 at
+least. tests/llm and the README give the recall measured against brute force.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from textkraal.llm._flat import BASE, codes_of, mix, segment_hashes
 from textkraal.session import load, materialize
 
 JACCARD, MIN_CHARS, GRAM = 0.8, 30, 5
-THRESHOLD, RESIDUAL = 0.35, 0.2
+THRESHOLD, RESIDUAL = 0.25, 0.1
+#: Texts of at most PAIRS words have word pairs as terms, those of at least TRIPLES words word triples.
+PAIRS, TRIPLES = 14, 10
 #: Slots of the document-frequency sketch and bits of the map of evaluation terms: fixed, whatever the input.
 SLOTS, BITS = 1 << 18, 1 << 25
 _LONG = re.compile(r"\S{21,}")
 
 
 def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term): the distinct terms of each text, in order of row and term."""
+    """(2 * row + space, term): the distinct terms of each text; pairs are space 0, triples space 1."""
     texts = [_LONG.sub(lambda m: " ".join(m[0][i : i + GRAM] for i in range(len(m[0]) - GRAM + 1)), t) if len(t) > 20 else t for t in texts]
     flat, off = codes_of([t + " " for t in texts])
     if not len(flat):
@@ -44,12 +46,15 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start, end = start[keep], end[keep]
     h = segment_hashes(flat, start, end)
     row = np.searchsorted(off, start, side="right") - 1
+    count = np.bincount(row, minlength=len(texts))[row]
     with np.errstate(over="ignore"):
-        pair = mix(h[:-1] * BASE + h[1:])
-    inside = row[:-1] == row[1:]
-    alone = np.bincount(row, minlength=len(texts)) == 1
-    rows = np.concatenate((row[:-1][inside], row[alone[row]]))
-    terms = np.concatenate((pair[inside], h[alone[row]]))
+        two = mix(h[:-1] * BASE + h[1:])
+        three = mix(two[:-1] * BASE + h[2:])
+    in2 = (row[:-1] == row[1:]) & (count[:-1] <= PAIRS)
+    in3 = (row[:-2] == row[2:]) & (count[:-2] >= TRIPLES)
+    alone = count == 1
+    rows = np.concatenate((2 * row[:-1][in2], 2 * row[:-2][in3] + 1, 2 * row[alone]))
+    terms = np.concatenate((two[in2], three[in3], h[alone]))
     order = np.lexsort((terms, rows))
     rows, terms = rows[order], terms[order]
     first = np.ones(len(rows), dtype=bool)
@@ -63,7 +68,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, terms = _terms(b.column("norm").to_pylist())
         counts += np.bincount((terms % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        of_eval = ~np.array(b.column("train").to_pylist(), dtype=bool)[rows]
+        of_eval = ~np.array(b.column("train").to_pylist(), dtype=bool)[rows >> 1]
         at = terms[of_eval] >> np.uint64(64 - BITS.bit_length() + 1)
         np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     for kind, a in ((0, counts), (1, bits)):
@@ -79,7 +84,7 @@ def _postings(sketch: np.ndarray, bits: np.ndarray, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, terms = _terms(b.column("norm").to_pylist())
-            n = b.num_rows
+            n = 2 * b.num_rows
             w = idf[(terms % np.uint64(SLOTS)).astype(np.int64)]
             order = np.lexsort((terms, -w, rows))
             rows, terms, w = rows[order], terms[order], w[order]
@@ -95,7 +100,7 @@ def _postings(sketch: np.ndarray, bits: np.ndarray, total: int):
             np.maximum.at(left, rows[~kept], np.sqrt(rest[~kept]))
             top = np.zeros(n)
             np.maximum.at(top, rows, w)
-            train = np.array(b.column("train").to_pylist(), dtype=bool)
+            train = np.repeat(np.array(b.column("train").to_pylist(), dtype=bool), 2)
             at = terms >> np.uint64(64 - BITS.bit_length() + 1)
             met = ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
             kept &= ~train[rows] | met
@@ -103,8 +108,10 @@ def _postings(sketch: np.ndarray, bits: np.ndarray, total: int):
             up = lambda x: np.minimum(65535, np.ceil(x * 65535)).astype(np.int64)
             meta = (up(w[kept]) << 47) | (up(left[r]) << 31) | (up(top[r]) << 15) | np.minimum(count[r], 32767)
             k1 = b.column("k1").to_numpy(zero_copy_only=False)
+            grams = np.array([len(_grams(x)) for x in b.column("norm").to_pylist()], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms[kept].view(np.int64)), pa.array(k1[r]), pa.array(train[r]), pa.array(meta)], names=["term", "k", "train", "meta"]
+                [pa.array(terms[kept].view(np.int64)), pa.array(k1[r >> 1]), pa.array(train[r]), pa.array(meta), pa.array(grams[r >> 1])],
+                names=["term", "k", "train", "meta", "grams"],
             )
 
     return run
@@ -156,14 +163,15 @@ def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     def postings(batches):
         yield from _postings(*shared.value)(batches)
 
-    p = texts.select("k1", "train", "norm").mapInArrow(postings, "term long, k long, train boolean, meta long")
+    p = texts.select("k1", "train", "norm").mapInArrow(postings, "term long, k long, train boolean, meta long, grams int")
     q = 65535.0
     field = lambda c, by, mask=65535: F.shiftrightunsigned(F.col(c), by).bitwiseAND(mask)
-    e = p.where("not train").select("term", F.col("k").alias("ek"), F.col("meta").alias("em"))
-    t = p.where("train").select("term", F.col("k").alias("tk"), F.col("meta").alias("tm"))
+    e = p.where("not train").select("term", F.col("k").alias("ek"), F.col("meta").alias("em"), F.col("grams").alias("eg"))
+    t = p.where("train").select("term", F.col("k").alias("tk"), F.col("meta").alias("tm"), F.col("grams").alias("tg"))
     top = field("em", 15) / q * field("tm", 15) / q
     terms = F.least(field("em", 0, 32767), field("tm", 0, 32767))
-    hits = e.join(t, "term").where((terms == 32767) | (terms * top >= THRESHOLD))
+    sizes = F.least("eg", "tg") >= JACCARD * F.greatest("eg", "tg")  # else the union is too large
+    hits = e.join(t, "term").where(sizes & ((terms == 32767) | (terms * top >= THRESHOLD)))
     hits = hits.groupBy("ek", "tk").agg(
         F.sum(field("em", 47) / q * field("tm", 47) / q).alias("dot"), F.max(F.greatest(field("em", 31), field("tm", 31)) / q).alias("rest")
     )
