@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["p1_language", "p2_split_overlap", "p3_linked_splits", "p4_page_noise", "p5_token_budget", "p6_format_copies", "p7_leakage", "p9_subjects"]
+_MODULES = ["p1_language", "p2_split_overlap", "p3_linked_splits", "p4_page_noise", "p5_token_budget", "p6_format_copies", "p7_leakage", "p8_mixing", "p9_subjects"]
 
 
 def _all(what: str) -> dict:
