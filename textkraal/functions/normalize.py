@@ -28,3 +28,8 @@ def clean_key(c: Column) -> Column:
     """Trimmed and lower case; blank becomes null."""
     t = F.lower(F.regexp_replace(c, f"^{WS}+|{WS}+$", ""))
     return F.when(t != "", t)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+_MODULES = ["scalars", "observed"]
+
+
+def _all(what: str) -> dict:
+    out: dict = {}
+    for m in _MODULES:
+        out |= getattr(importlib.import_module(f"textkraal.plans.{m}"), what)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _all("SQL")
