@@ -44,8 +44,8 @@ MISREAD = re.compile(
 WORD = re.compile(rf"{L}(?:{L}|[56]|(?<={L})[-'’](?={L}))+(?:!(?=\s[a-z]))?")
 #: Texts that don't match these have nothing for the longer patterns to find.
 _HYPHEN_AT = re.compile(r"[‐¬\xad-] ?[\n ]")
-_SIGN_AT = re.compile(rf"[@¢$†{STRAY}0129!]|[a-z]I")
-_NUMBER_AT = re.compile(r"\d|\b[ivxlIVXL]{2,}\b")
+_SIGN_AT = re.compile(rf"[@¢$†{STRAY}]|[0129!](?=[^\W\d_])|(?<=[^\W\d_])[0129]|(?<=[a-z])I")
+_NUMBER_AT = re.compile(r"\d|(?<= )[ivxlIVXL]{2,}(?= |$)")
 _ROMAN = r"(?:x{0,3}(?:ix|iv|v?i{1,3}|v)|x{1,3}|x{0,2}l?x{0,3}(?:ix|iv|v?i{0,3})?)"
 _NUMBER = rf"(?:\d{{1,3}}|{_ROMAN})"
 PAGE_LINE = re.compile(rf"[^\w\n]*(?:(?:iphepha|page|p)\b[.\s]*\d{{1,3}}|{_NUMBER})[^\w\n]*", re.I)
@@ -79,6 +79,19 @@ def title_starts(title: str | None) -> list[str]:
     return out
 
 
+_DIGIT = re.compile(r"\d")
+
+
+def _begins(line: str, whole: str) -> bool:
+    """Whether a line may start as a title does, one misread letter allowed."""
+    f = fold(line[:14])
+    return f[:2] == whole[:2] or f[1:3] == whole[1:3] or f[:1] + f[2:3] == whole[:1] + whole[2:3]
+
+
+#: The letters that a folded first letter may have been.
+_HEADS = {"h": "bh", "e": "ce", "n": "unr", "l": "il", "m": "mr", "w": "wv", "d": "dc"}
+
+
 class Page:
     """What a text shows of page noise by itself; spans are half-open offsets."""
 
@@ -107,7 +120,9 @@ class Page:
         if PAGE_LINE.fullmatch(line) and line.strip() and re.search(r"\w", line):
             self.numbers.append((at, at + len(line)))
             return
-        rest = HEAD_NUMBER.sub(" ", line)
+        rest = HEAD_NUMBER.sub(" ", line) if _DIGIT.search(line) else line
+        if starts and rest is line and not _begins(rest, starts[-1]):
+            return
         f = fold(rest)
         n = len(rest.split())
         if f and starts and any(f == s or (abs(len(f) - len(s)) < 3 and len(s) > 12 and difflib.SequenceMatcher(None, f, s).ratio() > 0.93) for s in starts):
@@ -123,9 +138,10 @@ class Page:
     def _inline(self, starts: list[str], lower: bool) -> None:
         tokens = [m.span() for m in re.finditer(r"\S+", self.text)]
         whole, ends = starts[-1], set(starts)
+        heads = _HEADS.get(whole[0], whole[0])
         for i, (a, b) in enumerate(tokens):
             c = self.text[a]
-            if c.islower() and not lower or not (f := fold(self.text[a:b])) or not whole.startswith(f):
+            if c.islower() and not lower or c.isalpha() and c.lower() not in heads or not (f := fold(self.text[a:b])) or not whole.startswith(f):
                 continue
             got, best = f, None
             for x, y in tokens[i + 1 : i + 60]:
@@ -148,6 +164,12 @@ class Page:
     def kinds(self) -> set[str]:
         return {k for k, v in (("hyphenation", self.hyphens), ("header", self.headers), ("page_number", self.numbers), ("misread", self.misread)) if v}
 
+    def word_set(self) -> set[str]:
+        """The lower-case words outside headers, parted words joined."""
+        if self.headers or self.numbers:
+            return {w for w, _, _ in self.words()}
+        return set(map(str.lower, WORD.findall(HYPHEN.sub("", self.text) if self.hyphens else self.text)))
+
     def words(self) -> list[tuple[str, int, int]]:
         """Lower-case words outside headers, parted words joined: (word, start, end)."""
         keep, at = [], []
@@ -177,14 +199,14 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, noisy): words of a task, and how many of them stand on pages that show noise."""
+    """(word, n, noisy): words of a task, and how many of them stand in texts with parted words or signs inside words."""
     n, noisy = Counter(), Counter()
     for b in batches:
-        for text, title in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            p = Page(text, title)
-            w = [x for x, _, _ in p.words()]
+        for text in b.column(0).to_pylist():
+            parted = bool(_HYPHEN_AT.search(text) and HYPHEN.search(text))
+            w = list(map(str.lower, WORD.findall(HYPHEN.sub("", text) if parted else text)))
             n.update(w)
-            if p.hyphens or p.misread or p.headers or p.numbers:
+            if parted or _SIGN_AT.search(text) and MISREAD.search(text):
                 noisy.update(w)
         if len(n) > 300_000:
             yield _rows(n, noisy)
@@ -217,7 +239,7 @@ def _deletes(of_lexicon: bool):
 
 
 def corrections(texts: DataFrame) -> DataFrame:
-    """(word, right, cost, n): lexicon words that a rare word may be a misreading of. texts: (text, source_title)."""
+    """(word, right, cost, n): lexicon words that a rare word may be a misreading of. texts: (text)."""
     schema = "word string, n long, noisy long"
     words = texts.mapInArrow(_count, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy"))
     words = materialize(words.where(F.length("word") >= 4), "p4words")
@@ -259,7 +281,7 @@ def noise(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     """
     spark = records.sparkSession
     r = records.where("record_id is not null and text is not null").select("record_id", "text", "source_title")
-    fixes = materialize(corrections(r.select("text", "source_title")), "p4fixes")
+    fixes = materialize(corrections(r.select("text")), "p4fixes")
     suspects = _with_hash(fixes.select("word").distinct())
     known = work_key(F.col("source_title"))
     bits = _sketch(suspects, SUSPECT_BITS)
@@ -286,7 +308,7 @@ def noise(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
                     h = [f for f, _, _ in p.lines] if len(p.lines) > 1 else p.openings()
                     heads += h
                     of += [rid] * len(h)
-                w = {x for x, _, _ in p.words() if len(x) >= 4}
+                w = {x for x in p.word_set() if len(x) >= 4}
                 words += w
                 owner += [rid] * len(w)
             out += [(owner[i], "word", words[i]) for i in met(words, 0)]
