@@ -104,6 +104,12 @@ def observations(tokens: DataFrame, family: str) -> DataFrame:
     return tokens.select("*", F.explode(keys).alias("pattern"))
 
 
+def all_observations(tokens: DataFrame) -> DataFrame:
+    """tokens with a row per family and pattern that they show: every family in one pass."""
+    k = [F.when(c.isNotNull(), F.struct(F.lit(f).alias("family"), c.alias("pattern"))) for f, cs in observation_keys().items() for c in cs]
+    return tokens.select("*", F.explode(F.array_compact(F.array(*k))).alias("o")).select(*tokens.columns, "o.family", "o.pattern")
+
+
 def analysis(word: Column) -> Column:
     """(type, prefix, stem, entry): the longest noun prefix, else a hyphenated subject concord, else nulls (unknown)."""
     low = F.lower(word)

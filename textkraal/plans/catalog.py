@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["scalars", "observed", "corpus"]
+_MODULES = ["scalars", "observed", "corpus", "checked", "extras"]
 
 
 def _all(what: str) -> dict:

@@ -39,12 +39,9 @@ def evidence(spark, sf_dir, family="tam", k=10):
 
 def review_tasks(spark, sf_dir):
     """Patterns seen at least five times become review tasks; those of modifiers always do."""
-    out = None
-    for family in tk.observation_keys():
-        c = _counts(family)(spark, sf_dir).where(F.lit(family == "modifier") | (F.col("token_frequency") >= 5))
-        c = c.select(F.lit(family).alias("family"), "pattern", "token_frequency", F.lit(None).cast("string").alias("proposed_analysis"))
-        out = c if out is None else out.unionByName(c)
-    return out
+    g = tk.all_observations(target_tokens(spark, sf_dir)).groupBy("family", "pattern").agg(F.count("*").alias("token_frequency"))
+    g = g.where((F.col("family") == "modifier") | (F.col("token_frequency") >= 5))
+    return g.withColumn("proposed_analysis", F.lit(None).cast("string"))
 
 
 def lexicon(spark, sf_dir):
