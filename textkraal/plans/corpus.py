@@ -96,11 +96,13 @@ def totals(s, d):
     return rec(s, d).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(pieces(F.col("text")))).alias("words"))
 
 
-KEY = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+def key():
+    """The text in lower case with single spaces."""
+    return F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
 
 
 def duplicates(s, d):
-    g = rec(s, d).where("text is not null").select(KEY.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    g = rec(s, d).where("text is not null").select(key().alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     g = g.agg(F.sum("n").alias("records"), F.count("*").alias("distinct_texts"))
     return g.select("records", "distinct_texts", (F.col("records") - F.col("distinct_texts")).alias("duplicates"), F.round(F.try_divide(F.col("records") - F.col("distinct_texts"), F.col("records")), 6).alias("rate"))
 
@@ -157,7 +159,7 @@ def coverage(s, d):
 
 def first_wins(s, d):
     """The first record, by id, of each normalised text of more than 20 characters."""
-    r = rec(s, d).where(F.length(KEY) > 20).select("record_id", KEY.alias("k"))
+    r = rec(s, d).where(F.length(key()) > 20).select("record_id", key().alias("k"))
     return r.groupBy("k").agg(F.min("record_id").alias("record_id"), F.count("*").alias("n")).select("record_id", "n")
 
 
@@ -165,7 +167,7 @@ def across_sources(s, d):
     """Records and raw lines, the first of each text over ten characters; records come before raw lines."""
     a = rec(s, d).select(F.lit(1).alias("file"), "record_id", "text")
     b = raw_records(s, d).select(F.lit(2).alias("file"), "record_id", "text")
-    r = a.union(b).where(F.length(KEY) > 10).select("file", "record_id", KEY.alias("k"))
+    r = a.union(b).where(F.length(key()) > 10).select("file", "record_id", key().alias("k"))
     return first_of_each(r, "k", ["file", "record_id"]).groupBy("file").agg(F.count("*").alias("kept"))
 
 
