@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_session(app: str = "textkraal", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -31,8 +34,23 @@ def get_session(app: str = "textkraal", cpus: int | str = "*", **conf: str) -> S
     return s
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that they needn't have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).parent
+    out = Path(tempfile.mkdtemp(prefix="textkraal-code-")) / "textkraal_code.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the corpus; only the columns used later are read."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
