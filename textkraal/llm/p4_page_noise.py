@@ -51,7 +51,7 @@ _NUMBER = rf"(?:\d{{1,3}}|{_ROMAN})"
 PAGE_LINE = re.compile(rf"[^\w\n]*(?:(?:iphepha|page|p)\b[.\s]*\d{{1,3}}|{_NUMBER})[^\w\n]*", re.I)
 PAGE_INLINE = re.compile(
     rf"\b(?:iphepha|page|p\.)\s*\d{{1,3}}\b|(?<!\S)\[\d{{1,3}}\](?!\S)|(?<!\S)\(\s*\d{{1,3}}\s*\)(?!\S)|(?<!\S)[—-]\s*\d{{1,3}}\s*[—-](?!\S)"
-    rf"|(?<!\S)\d{{1,3}}\.?(?!\S)(?:\s\|)?|(?<!\S)(?=[ivxl]{{2}}){_ROMAN}(?![\w.,;])", re.I
+    rf"|(?<!\S)\d{{1,3}}\.?(?!\S)(?:\s\|)?|(?<!\S)(?=[ivxl]{{2}}){_ROMAN}(?!\S)", re.I
 )
 HEAD_NUMBER = re.compile(rf"^\s*(?:\W?\s*\d{{1,3}}\s*\W?\s{{2,}})|\s{{2,}}\W?\s*\d{{1,3}}\s*\W?\s*$|(?:—|-)\s*\[\d{{1,3}}\]\s*$|^\s*\[\d{{1,3}}\]\s*|\s*\[\d{{1,3}}\]\s*$")
 _NOTE = re.compile(NOTE.replace(r"\p{P}", r"!-/:-@\[-`{-~—–‐”“").replace(r"\p{L}", r"^\W\d_").replace("[^\\W\\d_]*", "\\w*"))
