@@ -127,6 +127,31 @@ def test_overlap_against_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_overlap_of_a_family_of_a_third(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abdeghiklmnost") for _ in range(rnd.randint(5, 7)))
+    family, chain = [word() for _ in range(20)], "".join(word() for _ in range(25))
+    rows = []
+    for i in range(900):
+        split = "train" if i % 3 else "test"
+        if i < 300:  # near copies: one word changed, or a letter in each of three words
+            w = list(family)
+            for j in rnd.sample(range(20), 1 if i % 2 else 3):
+                w[j] = word() if i % 2 else w[j][:2] + rnd.choice("vwxyz") + w[j][3:]
+            rows.append((f"r{i:03}", " ".join(w), split))
+        elif i < 320:  # one long word, split anew
+            rows.append((f"r{i:03}", chain[: i % 60 + 20] + " " + chain[i % 60 + 20 :], split))
+        else:
+            rows.append((f"r{i:03}", " ".join(word() for _ in range(20)), split))
+    members, links = p2.overlap_classes(records(spark, rows))
+    m = members.select("record_id", "k1")
+    e, t = m.withColumnRenamed("record_id", "e").withColumnRenamed("k1", "e1"), m.withColumnRenamed("record_id", "t").withColumnRenamed("k1", "t1")
+    got = {(r.e, r.t) for r in links.join(e, "e1").join(t, "t1").collect()}
+    sets = [(i, {x[k : k + 5] for k in range(len(x) - 4)}, s) for i, x, s in rows]
+    want = {(a, b) for a, x, s in sets if s == "test" for b, y, u in sets if u == "train" and len(x & y) >= 0.8 * len(x | y)}
+    assert got == want and len(want) > 900
+
+
 def test_overlap_of_nothing(spark):
     assert p2.overlap_classes(records(spark, []))[1].count() == 0
 

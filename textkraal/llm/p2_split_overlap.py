@@ -1,19 +1,17 @@
 """Problem 2: same or near-same records across splits.
 
-A weighted cosine join. The terms of a text are the triples of neighbouring words of its normalised form (pairs in a
-short text, both in one between), weighted by inverse document frequency and scaled to norm 1. Inverted lists hold each text's rarest terms, up to where the norm
-of the rest falls under RESIDUAL; the lists of the evaluation splits are joined with those of train, the products are
-added up per pair, and a pair is dropped where the sum and the residual norms, or the numbers of terms and their
-largest weights, cannot reach THRESHOLD. What is left gets the exact dot product of its 5-character pieces.
-
-The cosine threshold is far below what texts with 80 % of their 5-character pieces in common reach: a change inside
-such a text costs about ten pieces of the two and at most three triples or two pairs, which leaves a cosine of 0.3 at
-least. tests/llm and the README give the recall measured against brute force.
+An exact set-similarity join on the 5-character pieces of the normalised texts. Every text's pieces are put in one order
+for all texts, rare ones first by a sketch of document frequencies. Two sets of n and m pieces with a Jaccard similarity
+of 0.8 share at least 4 (n + m) / 9 of them, so the first piece they share stands among the first n / 5 + 1 of each
+(prefix filter), with at least as many pieces from it on in both (positional filter), n and m differ by a fifth at most,
+and at most (n + m) / 9 pieces are in one set only, which is no less than the bits that differ between the parities of
+hashed pieces (bitmap filter). The prefixes of the evaluation splits are joined with those of train under these bounds;
+each is a consequence of the similarity for any texts and frequencies, so no pair is lost. What is left gets the exact
+dot product of its 5-character pieces.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,53 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkraal.functions.normalize import clean_key, spaced_letters_digits
-from textkraal.llm._flat import BASE, codes_of, mix, segment_hashes
+from textkraal.llm._flat import codes_of, gram_hashes
 from textkraal.session import load, materialize
 
-JACCARD, MIN_CHARS, GRAM = 0.8, 30, 5
-THRESHOLD, RESIDUAL = 0.25, 0.1
-#: Texts of at most PAIRS words have word pairs as terms, those of at least TRIPLES words word triples.
-PAIRS, TRIPLES = 14, 10
-#: Slots of the document-frequency sketch and bits of the map of evaluation terms: fixed, whatever the input.
+MIN_CHARS, GRAM = 30, 5
+#: Slots of the document-frequency sketch and bits of the map of evaluation pieces: fixed, whatever the input.
 SLOTS, BITS = 1 << 18, 1 << 25
-_LONG = re.compile(r"\S{21,}")
-
-
-def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(2 * row + space, term): the distinct terms of each text; pairs are space 0, triples space 1."""
-    texts = [_LONG.sub(lambda m: " ".join(m[0][i : i + GRAM] for i in range(len(m[0]) - GRAM + 1)), t) if len(t) > 20 else t for t in texts]
-    flat, off = codes_of([t + " " for t in texts])
-    if not len(flat):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    end = np.flatnonzero(flat == 32)
-    start = np.concatenate(([0], end[:-1] + 1))
-    keep = end > start
-    start, end = start[keep], end[keep]
-    h = segment_hashes(flat, start, end)
-    row = np.searchsorted(off, start, side="right") - 1
-    count = np.bincount(row, minlength=len(texts))[row]
-    with np.errstate(over="ignore"):
-        two = mix(h[:-1] * BASE + h[1:])
-        three = mix(two[:-1] * BASE + h[2:])
-    in2 = (row[:-1] == row[1:]) & (count[:-1] <= PAIRS)
-    in3 = (row[:-2] == row[2:]) & (count[:-2] >= TRIPLES)
-    alone = count == 1
-    rows = np.concatenate((2 * row[:-1][in2], 2 * row[:-2][in3] + 1, 2 * row[alone]))
-    terms = np.concatenate((two[in2], three[in3], h[alone]))
-    order = np.lexsort((terms, rows))
-    rows, terms = rows[order], terms[order]
-    first = np.ones(len(rows), dtype=bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
-    return rows[first], terms[first]
+
+
+def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, piece): the hashed pieces of each text, from left to right, repeated ones too."""
+    flat, off = codes_of(texts)
+    h = gram_hashes(flat, GRAM)
+    row = np.repeat(np.arange(len(texts)), np.diff(off))[: len(h)]
+    whole = np.arange(len(h)) + GRAM <= off[row + 1]
+    return row[whole], h[whole]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of terms by slot (kind 0) and the map of the terms of evaluation texts (kind 1), of one task."""
+    """Counts of pieces by slot (kind 0) and the map of the pieces of evaluation texts (kind 1), of one task."""
     counts, bits = np.zeros(SLOTS, dtype=np.int64), np.zeros(BITS // 64, dtype=np.uint64)
     for b in batches:
-        rows, terms = _terms(b.column("norm").to_pylist())
+        rows, terms = _pieces(b.column("norm").to_pylist())
         counts += np.bincount((terms % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        of_eval = ~np.array(b.column("train").to_pylist(), dtype=bool)[rows >> 1]
+        of_eval = ~np.array(b.column("train").to_pylist(), dtype=bool)[rows]
         at = terms[of_eval] >> np.uint64(64 - BITS.bit_length() + 1)
         np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     for kind, a in ((0, counts), (1, bits)):
@@ -78,41 +53,34 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _postings(sketch: np.ndarray, bits: np.ndarray, total: int):
-    idf = np.log((total + 1) / (sketch + 1)).clip(min=0.05)
-
+def _postings(sketch: np.ndarray, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, terms = _terms(b.column("norm").to_pylist())
-            n = 2 * b.num_rows
-            w = idf[(terms % np.uint64(SLOTS)).astype(np.int64)]
-            order = np.lexsort((terms, -w, rows))
-            rows, terms, w = rows[order], terms[order], w[order]
-            sq = np.bincount(rows, weights=w * w, minlength=n)
-            w = w / np.sqrt(sq[rows])
-            count = np.bincount(rows, minlength=n)
-            begin = np.cumsum(count) - count
-            done = np.cumsum(w * w)
-            before = np.concatenate(([0.0], done))[begin][rows]
-            rest = np.maximum(0.0, 1 - (done - before) + w * w)  # squared norm from this term on
-            kept = (rest >= RESIDUAL**2) | (np.arange(len(rows)) == begin[rows])
-            left = np.zeros(n)
-            np.maximum.at(left, rows[~kept], np.sqrt(rest[~kept]))
-            top = np.zeros(n)
-            np.maximum.at(top, rows, w)
-            train = np.repeat(np.array(b.column("train").to_pylist(), dtype=bool), 2)
+            rows, terms = _pieces(b.column("norm").to_pylist())
+            key = (rows << 40) | sketch[(terms % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((terms, key))
+            rows, terms = rows[order], terms[order]
+            first = np.ones(len(rows), dtype=bool)
+            first[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
+            rows, terms = rows[first], terms[first]
+            n = np.bincount(rows, minlength=b.num_rows)
+            begin = np.cumsum(n) - n
+            rest = (n + begin)[rows] - np.arange(len(rows))  # pieces from this one on
+            parity = np.zeros((2, b.num_rows), dtype=np.uint64)
+            bit = (terms >> np.uint64(20)) & np.uint64(127)
+            for half in (0, 1):
+                one = np.where(bit >> np.uint64(6) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+                if len(one):
+                    parity[half, n > 0] = np.bitwise_xor.reduceat(one, begin[n > 0])
+            train = np.array(b.column("train").to_pylist(), dtype=bool)
+            kept = n[rows] - rest <= n[rows] // 5
             at = terms >> np.uint64(64 - BITS.bit_length() + 1)
             met = ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
             kept &= ~train[rows] | met
             r = rows[kept]
-            up = lambda x: np.minimum(65535, np.ceil(x * 65535)).astype(np.int64)
-            meta = (up(w[kept]) << 47) | (up(left[r]) << 31) | (up(top[r]) << 15) | np.minimum(count[r], 32767)
             k1 = b.column("k1").to_numpy(zero_copy_only=False)
-            grams = np.array([len(_grams(x)) for x in b.column("norm").to_pylist()], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms[kept].view(np.int64)), pa.array(k1[r >> 1]), pa.array(train[r]), pa.array(meta), pa.array(grams[r >> 1])],
-                names=["term", "k", "train", "meta", "grams"],
-            )
+            cols = [terms[kept].view(np.int64), k1[r], train[r], n[r].astype(np.int32), rest[kept].astype(np.int32), parity[0, r].view(np.int64), parity[1, r].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["term", "k", "train", "n", "rest", "p0", "p1"])
 
     return run
 
@@ -128,7 +96,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e1, e2, t1, t2, a, c in zip(*(b.column(x).to_pylist() for x in ("e1", "e2", "t1", "t2", "e_norm", "t_norm"))):
             x, y = (_grams(a), _grams(c)) if a != c else (g := _grams(a), g)
             dot = len(x & y)
-            if dot >= JACCARD * (len(x) + len(y) - dot):
+            if 5 * dot >= 4 * (len(x) + len(y) - dot):
                 out.append((e1, e2, t1, t2, dot / (len(x) * len(y)) ** 0.5, dot / (len(x) + len(y) - dot)))
         cols = list(zip(*out)) or [[]] * 6
         kinds = [pa.int64()] * 4 + [pa.float64()] * 2
@@ -155,27 +123,21 @@ def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = small.groupBy("kind", "slot").agg(F.sum(F.when(F.col("kind") == 0, F.col("value"))).alias("n"), F.bit_or("value").alias("bits"))
     got = small.toArrow()  # at most SLOTS + BITS / 64 rows
     kind, slot = got["kind"].to_numpy(), got["slot"].to_numpy()
-    sketch, bits = np.zeros(SLOTS), np.zeros(BITS // 64, dtype=np.uint64)
+    sketch, bits = np.zeros(SLOTS, dtype=np.int64), np.zeros(BITS // 64, dtype=np.uint64)
     sketch[slot[kind == 0]] = got["n"].to_numpy()[kind == 0]
     bits[slot[kind == 1]] = got["bits"].to_numpy()[kind == 1].view(np.uint64)
-    shared = spark.sparkContext.broadcast((sketch, bits, texts.count()))
+    shared = spark.sparkContext.broadcast((sketch, bits))
 
     def postings(batches):
         yield from _postings(*shared.value)(batches)
 
-    p = texts.select("k1", "train", "norm").mapInArrow(postings, "term long, k long, train boolean, meta long, grams int")
-    q = 65535.0
-    field = lambda c, by, mask=65535: F.shiftrightunsigned(F.col(c), by).bitwiseAND(mask)
-    e = p.where("not train").select("term", F.col("k").alias("ek"), F.col("meta").alias("em"), F.col("grams").alias("eg"))
-    t = p.where("train").select("term", F.col("k").alias("tk"), F.col("meta").alias("tm"), F.col("grams").alias("tg"))
-    top = field("em", 15) / q * field("tm", 15) / q
-    terms = F.least(field("em", 0, 32767), field("tm", 0, 32767))
-    sizes = F.least("eg", "tg") >= JACCARD * F.greatest("eg", "tg")  # else the union is too large
-    hits = e.join(t, "term").where(sizes & ((terms == 32767) | (terms * top >= THRESHOLD)))
-    hits = hits.groupBy("ek", "tk").agg(
-        F.sum(field("em", 47) / q * field("tm", 47) / q).alias("dot"), F.max(F.greatest(field("em", 31), field("tm", 31)) / q).alias("rest")
-    )
-    near = materialize(hits.where(F.col("dot") + F.col("rest") >= THRESHOLD).select("ek", "tk"), "p2near")
+    p = texts.select("k1", "train", "norm").mapInArrow(postings, "term long, k long, train boolean, n int, rest int, p0 long, p1 long")
+    e, t = (p.where(w).select("term", *[F.col(c).alias(x + c) for c in ("k", "n", "rest", "p0", "p1")]) for x, w in (("e", "not train"), ("t", "train")))
+    both = F.col("en").cast("long") + F.col("tn")
+    differ = F.bit_count(F.col("ep0").bitwiseXOR(F.col("tp0"))) + F.bit_count(F.col("ep1").bitwiseXOR(F.col("tp1")))
+    sizes = 5 * F.least("en", "tn").cast("long") >= 4 * F.greatest("en", "tn").cast("long")
+    hits = e.join(t, "term").where(sizes & (9 * F.least("erest", "trest").cast("long") >= 4 * both) & (9 * differ <= both))
+    near = materialize(hits.select("ek", "tk").distinct(), "p2near")
     et = texts.where("not train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("norm").alias("e_norm"))
     tt = texts.where("train").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("norm").alias("t_norm"))
     pairs = near.join(et, near.ek == et.e1).join(tt, F.col("tk") == tt.t1).select("e1", "e2", "t1", "t2", "e_norm", "t_norm")
