@@ -213,6 +213,18 @@ def test_misread_words_need_the_lexicon(spark):
     assert out["bad"] == good and out["r1"] == good and out["null"] is None and out["empty"] == ""
 
 
+def test_raw_pages_are_repaired_too(spark):
+    good = "umphepheli wathenga iinduku emihadini kakhulu"
+    page = "Umphepheli wathenga iin-\nduku emihadini\nIphepha 316"
+    rows = [(f"r{i}", good, None, "s", "Title of work", None, None, good) for i in range(400)]
+    rows += [("bad", good, None, "s", "Title of work", None, None, page + " umphepbeli"), ("null", good), ("blank", good, None, "s", "T", None, None, " "), ("only", None, None, "s", "T", None, None, page)]
+    out = {r.record_id: r for r in p4.repaired(records(spark, rows, RECORD + ", original_text string")).collect()}
+    assert len(out) == len(rows) and all(r.repaired_text == (None if k == "only" else good) for k, r in out.items())
+    assert out["r1"].repaired_original == good and out["null"].repaired_original is None and out["blank"].repaired_original == " "
+    assert out["only"].repaired_original == "Umphepheli wathenga iinduku emihadini" and out["only"].original_noise_kinds == "hyphenation+page_number"
+    assert "umphepheli" in out["bad"].repaired_original and "iinduku" in out["bad"].repaired_original and out["bad"].noise_kinds is None
+
+
 # --- 5
 
 

@@ -399,14 +399,21 @@ def repair(text: str, title: str | None, heads: set[str], right: dict[str, list[
 
 
 def repaired(records: DataFrame) -> DataFrame:
-    """(record_id, noise_kinds, repaired_text) of every record; a text without noise is left as it is.
+    """(record_id, noise_kinds, repaired_text, original_noise_kinds, repaired_original) of every record.
 
-    Repeated rows count once; null texts stay null.
+    The last two are those of original_text, the raw page, where the column is given. A page that differs from the text
+    counts in the lexicon like a text; one that is a copy is repaired as the text is. What has no noise is left as it is.
+    Repeated rows count once; null texts and pages stay null.
     """
     spark = records.sparkSession
-    kinds, fixes, heads, misread = noise(records)
-    r = records.where("record_id is not null").select("record_id", "text", "source_title").dropDuplicates(["record_id"])
-    small = r.where("text is not null").select("text").mapInArrow(_pairs, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    raw = F.col("original_text") if "original_text" in records.columns else F.lit(None).cast("string")
+    r = records.where("record_id is not null").select("record_id", "text", raw.alias("original"), "source_title")
+    other = (F.coalesce(F.trim("original"), F.lit("")) != "") & ~F.col("original").eqNullSafe(F.col("text"))
+    pages = r.select(F.concat(F.lit("t"), "record_id").alias("record_id"), "text", "source_title").union(
+        r.where(other).select(F.concat(F.lit("o"), "record_id"), "original", "source_title")
+    )
+    kinds, fixes, heads, misread = noise(pages)
+    small = pages.dropDuplicates(["record_id"]).where("text is not null").select("text").mapInArrow(_pairs, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(PAIR_SLOTS)
     pairs[small["slot"].to_numpy()] = small["n"].to_numpy()  # at most PAIR_SLOTS rows
     shared = spark.sparkContext.broadcast(pairs)
@@ -415,27 +422,40 @@ def repaired(records: DataFrame) -> DataFrame:
     per_head = heads.groupBy("record_id").agg(F.collect_set("value").alias("heads"))
     per_kind = kinds.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("noise_kind")), "+").alias("noise_kinds"))
     named = work_key(F.col("source_title")).isNotNull().alias("named")
-    x = r.join(per_kind, "record_id", "left").join(per, "record_id", "left").join(per_head, "record_id", "left")
+    x = r.dropDuplicates(["record_id"])
+    of = []
+    for field in ("t", "o"):
+        for d, c in ((per_kind, "noise_kinds"), (per, "right"), (per_head, "heads")):
+            own = d.where(F.col("record_id").startswith(field)).select(F.expr("substring(record_id, 2)").alias("record_id"), F.col(c).alias(f"{field}_{c}"))
+            x = x.join(own, "record_id", "left")
+            of.append(f"{field}_{c}")
+
+    def one(text, title, kinds, right, heads):
+        if kinds is None or text is None:
+            return text
+        by: dict[str, list[tuple[str, float, int]]] = {}
+        for o in right or ():
+            by.setdefault(o["value"], []).append((o["right"], o["cost"], o["n"]))
+        return repair(text, title, set(heads or ()), by, shared.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, title, named, kinds, right, heads in zip(*(b.column(k).to_pylist() for k in range(1, 7))):
-                if kinds is None or text is None:
-                    out.append(text)
-                    continue
-                by: dict[str, list[tuple[str, float, int]]] = {}
-                for o in right or ():
-                    by.setdefault(o["value"], []).append((o["right"], o["cost"], o["n"]))
-                out.append(repair(text, title if named else None, set(heads or ()), by, shared.value))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(out, pa.string())], names=["record_id", "noise_kinds", "repaired_text"])
+            texts, originals, original_kinds = [], [], []
+            for text, original, title, named, *found in zip(*(b.column(k).to_pylist() for k in range(1, 11))):
+                title = title if named else None
+                texts.append(one(text, title, *found[:3]))
+                copy = original is not None and original == text
+                originals.append(texts[-1] if copy else one(original, title, *found[3:]))
+                original_kinds.append(found[0] if copy else found[3])
+            cols = [b.column(0), b.column(5), pa.array(texts, pa.string()), pa.array(original_kinds, pa.string()), pa.array(originals, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["record_id", "noise_kinds", "repaired_text", "original_noise_kinds", "repaired_original"])
 
-    x = x.select("record_id", "text", "source_title", named, "noise_kinds", "right", "heads")
-    return x.mapInArrow(run, "record_id string, noise_kinds string, repaired_text string")
+    x = x.select("record_id", "text", "original", "source_title", named, *of)
+    return x.mapInArrow(run, "record_id string, noise_kinds string, repaired_text string, original_noise_kinds string, repaired_original string")
 
 
 def p4_repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record's text, repaired."""
+    """Every record's text and original_text, repaired."""
     return repaired(load(spark, sf_dir, "corpus_records"))
 
 
