@@ -87,7 +87,7 @@ def contained_items(s, d):
 
 
 def document_grams(s, d):
-    """One document per distinct text with its character grams, and all documents with that one's id."""
+    """One document, that of the smallest id, per distinct text with its character grams; near_classes() has the others."""
     x = load(s, d, "documents").where("text is not null").select("doc_id", "text")
     first = x.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     return first.select("doc_id", sim.char_grams(F.col("text")).alias("items"))
@@ -100,6 +100,18 @@ def near_documents(s, d):
     return p.where("a < b").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def near_classes(s, d):
+    """(doc_id, class_id, links) of every document with a text: documents of one text are a class, named by its
+    smallest id as in near_documents(); links counts the other documents of the same or of a near text."""
+    x = load(s, d, "documents").where("text is not null and doc_id is not null").select("doc_id", F.sha2("text", 256).alias("h")).distinct()
+    size = materialize(x.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    p = materialize(near_documents(s, d).select("a", "b"), "near")
+    ends = p.union(p.select("b", "a")).toDF("class_id", "other")
+    near = ends.join(size.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("near"))
+    c = size.join(near, "class_id", "left").select("h", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return x.join(c, "h").select("doc_id", "class_id", "links")
+
+
 def best_match(s, d):
     """For each evaluation item the document with most words in common, if over 0.8 of both."""
     a = load(s, d, "eval_items").select(F.col("item_id").alias("a"), va_words(F.col("text")).alias("items"))
@@ -263,7 +275,7 @@ def log_rows(s, d):
 QUERIES = {
     "j2_covered_words": covered_words, "j3_uncovered_words": uncovered_words, "g27_coverage": vocabulary_coverage, "g28_english_words": english_contamination, "v1_validated": validated,
     "v2_pipeline_summary": validation_summary, "t5_overlay": overlay, "t6_t7_word_kinds": word_kinds, "t21_target_part": lambda s, d: rec(s, d).select("record_id", va.target_part(F.col("text")).alias("part")),
-    "j4_novel_items": novel_items, "n8_contamination": novel_items, "j5_contained_items": contained_items, "j6_near_documents": near_documents, "j7_best_match": best_match, "n13_memorization": memorization,
+    "j4_novel_items": novel_items, "n8_contamination": novel_items, "j5_contained_items": contained_items, "j6_near_documents": near_documents, "j6_near_classes": near_classes, "j7_best_match": best_match, "n13_memorization": memorization,
     "d9_split_leakage": split_leakage, "j9_cooccurrence": cooccurring, "j11_linked_observations": linked_observations, "q1_entry_status": entry_status, "q8_manifest": manifest, "k2_report": report_json,
     "b1_pre_tokens": lambda s, d: eval_texts(s, d).select("item_id", F.array_join(tz.pre_tokens(F.col("text")), "␟").alias("pieces")),
     "b2_word_table": lambda s, d: tz.word_table(rec(s, d)), "b3_base_vocabulary": lambda s, d: rec(s, d).select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").distinct(),
