@@ -44,11 +44,22 @@ def json_round_trip(s, d):
 
 
 def corpus_hash(s, d):
-    """SHA-256 of the sorted hashes of all texts of a source."""
+    """SHA-256 of the set of two-digit prefixes of the hashes of a source, as its SQL has it; large sources have all
+    256 prefixes and so one digest. corpus_digest() tells every text and copy."""
     h = rec(s, d).where("text is not null").groupBy("source").agg(F.sort_array(F.collect_set(F.substring(F.sha2("text", 256), 1, 2))).alias("h"))
     return h.select("source", F.sha2(F.array_join("h", ""), 256).alias("digest"))  # at most 256 prefixes a source
 
 
+def corpus_digest(s, d):
+    """Per source its records with a text and a digest of all their ids and texts: each pair of id and text is hashed, the
+    eight 32-bit words of the hashes are summed apart, and the count and the sums are hashed. Every copy counts."""
+    r = rec(s, d).where("text is not null")
+    h = F.sha2(F.concat_ws(":", F.coalesce(F.sha2("record_id", 256), F.lit("null")), F.sha2("text", 256)), 256)
+    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")
+    g = r.select("source", h.alias("h")).groupBy("source").agg(F.count("*").alias("records"), *[F.sum(word(i)).alias(f"w{i}") for i in range(8)])
+    return g.select("source", "records", F.sha2(F.concat_ws(":", "records", *[f"w{i}" for i in range(8)]), 256).alias("digest"))
+
+
 def routed(s, d):
     """validation_results by status, the corrected apart from the merely accepted."""
     v = load(s, d, "validation_results")
@@ -277,7 +288,7 @@ QUERIES = {
     "s1_distinct_lines": lambda s, d: _lines(s, d).distinct(),
     "s2_all_lines": lambda s, d: _lines(s, d).groupBy("line").agg(F.count("*").alias("n")),
     "s3_json_records": raw_records, "s4_required_records": required, "s7_trimmed_lines": lambda s, d: rec(s, d).select("record_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines")),
-    "k1_json_round_trip": json_round_trip, "k3_text_lines": text_round_trip, "k4_provenance": lambda s, d: rec(s, d).select(*PROVENANCE), "k5_routes": routed, "k8_corpus_hash": corpus_hash,
+    "k1_json_round_trip": json_round_trip, "k3_text_lines": text_round_trip, "k4_provenance": lambda s, d: rec(s, d).select(*PROVENANCE), "k5_routes": routed, "k8_corpus_hash": corpus_hash, "k8_corpus_digest": corpus_digest,
     "f6_admission": admitted, "v3_training_corpus": admitted, "j1_status_lookup": status_lookup, "g1_counts": by_column(*COUNTED), "g2_work_rollup": work_rollup, "g3_totals": totals,
     "g8_length_stats": length_stats, "g8_length_buckets": length_buckets, "g9_duplicates": duplicates, "g24_spelling_conflicts": spelling_conflicts, "g26_coverage": coverage, "g29_tiers": tiers,
     "g30_integrity": integrity, "g31_expansion": expansion, "g32_purity": purity, "w4_sorted_head": lambda s, d: rec(s, d).orderBy(F.asc_nulls_last("source"), F.asc_nulls_last("source_type"), "text", "record_id").select("record_id").limit(100),
