@@ -9,7 +9,7 @@ from textkraal.operators import tokenizer as tz
 from textkraal.operators import tokens as tk
 from textkraal.operators import validation as va
 from textkraal.operators.components import connected_components
-from textkraal.operators.records import first_of_each, hashed_split, upper_median
+from textkraal.operators.records import bounded_sample, first_of_each, hashed_split, upper_median
 from textkraal.operators.similarity import containing, set_similarity
 
 
@@ -124,6 +124,14 @@ def test_first_of_each_and_median(spark):
     assert upper_median(spark.createDataFrame([(1,), (2,), (3,), (4,)], "n int"), "n").first()["median"] == 3
 
 
+def test_bounded_sample(spark):
+    df = spark.range(50_000).withColumnRenamed("id", "k")
+    a = [r.k for r in bounded_sample(df, ["k"], 300).collect()]
+    assert len(set(a)) == 300 and a == [r.k for r in bounded_sample(df.repartition(5), ["k"], 300).collect()]
+    assert a == [r.k for r in df.orderBy(F.xxhash64("k"), "k").limit(300).collect()]
+    assert bounded_sample(df.limit(7), ["k"], 300).count() == 7 and bounded_sample(df.limit(0), ["k"], 3).count() == 0
+
+
 def test_first_k_under_skew(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, concat('k', id), 'hot') as key", "id")
     got = tk.first_k(df, "key", ["id"], 3).where("key = 'hot'").orderBy("id").collect()

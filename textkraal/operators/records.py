@@ -49,3 +49,19 @@ def upper_median(rows: DataFrame, value: str) -> DataFrame:
     total = h.agg(F.sum("n").alias("total"), F.min("v").alias("shortest"), F.max("v").alias("longest"), F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n")).cast("long").alias("mean"))
     c = c.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2))
     return c.groupBy("total", "shortest", "longest", "mean").agg(F.min("v").alias("median"))
+
+
+def bounded_sample(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """At most `most` rows, those of smallest hash of `key`; the choice does not depend on the partitioning.
+
+    The rows are counted first and all but about 1.2 * most of them fall to a filter on the hash, so the tasks together
+    send about that many rows to the final ordering, however many rows and tasks there are. Fewer rows are all kept;
+    ties of the hash are broken by the key; null keys hash like any value.
+    """
+    h = F.xxhash64(*key)
+    n = rows.count()
+    if n > most:
+        wide = 2.0**64
+        cut = min(1.0, (1.2 * most + 100) / n)
+        rows = rows.where(h.cast("double") + F.lit(wide / 2) < F.lit(wide * cut))
+    return rows.withColumn("_h", h).orderBy("_h", *key).limit(most).drop("_h")
