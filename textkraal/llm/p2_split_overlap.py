@@ -1,13 +1,16 @@
 """Problem 2: same or near-same records across splits.
 
-An exact set-similarity join on the 5-character pieces of the normalised texts. Every text's pieces are put in one order
-for all texts, rare ones first by a sketch of document frequencies. Two sets of n and m pieces with a Jaccard similarity
-of 0.8 share at least 4 (n + m) / 9 of them, so the first piece they share stands among the first n / 5 + 1 of each
-(prefix filter), with at least as many pieces from it on in both (positional filter), n and m differ by a fifth at most,
-and at most (n + m) / 9 pieces are in one set only, which is no less than the bits that differ between the parities of
-hashed pieces (bitmap filter). The prefixes of the evaluation splits are joined with those of train under these bounds;
-each is a consequence of the similarity for any texts and frequencies, so no pair is lost. What is left gets the exact
-dot product of its 5-character pieces.
+A cosine join of the texts' vectors of 5-character pieces, each with weight 1. A Jaccard similarity of 0.8 of two sets of n
+and m pieces means a dot product of at least 4 (n + m) / 9, a cosine of 8/9 at least. Inverted lists of single pieces are
+no way to the candidates: pruned by the residual norm to the n / 5 + 1 rarest pieces of a text they still join a tenth of
+all pairs of texts, as most pieces belong to common words. So the terms of the lists here are conjunctions of WIDTH
+pieces: the pieces of least value under WIDTH hash functions, BANDS times. Whether two texts share such a term depends on
+their similarity alone, not on the frequency of anything, so a family of near copies of any size is found like two texts
+are: a pair of similarity J shares none with probability (1 - J**WIDTH)**BANDS, 7e-5 at 0.8 and under 1e-6 from 0.85 on.
+
+Within a list, pairs are pruned by the largest dot product that their norms admit (n and m differ by a fifth at most) and
+by the residual: at most (n + m) / 9 pieces are in one of the two only, which is no less than the bits that differ between
+the parities of hashed pieces. Both follow from the similarity. What is left gets its exact dot product.
 """
 
 from __future__ import annotations
@@ -20,67 +23,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkraal.functions.normalize import clean_key, spaced_letters_digits
-from textkraal.llm._flat import codes_of, gram_hashes
+from textkraal.llm._flat import codes_of, gram_hashes, mix
 from textkraal.session import load, materialize
 
 MIN_CHARS, GRAM = 30, 5
-#: Slots of the document-frequency sketch and bits of the map of evaluation pieces: fixed, whatever the input.
-SLOTS, BITS = 1 << 18, 1 << 25
+BANDS, WIDTH = 24, 5
+#: The map of the evaluation texts' terms has at least 16 bits a term; with more terms than MAP_BITS / 16 none is used,
+#: and all terms go through the shuffle. It is at most 16 MB.
+MAP_BITS = 1 << 26
+#: A term whose list gives more pairs than this is split by a salt.
+HOT = 4_000_000
+_ODD = (mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_ADD = (mix(np.arange(1001, BANDS * WIDTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, piece): the hashed pieces of each text, from left to right, repeated ones too."""
+    """(row, piece): the distinct pieces of each of at most 65,536 texts, as 48-bit hashes, by row."""
     flat, off = codes_of(texts)
     h = gram_hashes(flat, GRAM)
-    row = np.repeat(np.arange(len(texts)), np.diff(off))[: len(h)]
-    whole = np.arange(len(h)) + GRAM <= off[row + 1]
-    return row[whole], h[whole]
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pieces by slot (kind 0) and the map of the pieces of evaluation texts (kind 1), of one task."""
-    counts, bits = np.zeros(SLOTS, dtype=np.int64), np.zeros(BITS // 64, dtype=np.uint64)
-    for b in batches:
-        rows, terms = _pieces(b.column("norm").to_pylist())
-        counts += np.bincount((terms % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        of_eval = ~np.array(b.column("train").to_pylist(), dtype=bool)[rows]
-        at = terms[of_eval] >> np.uint64(64 - BITS.bit_length() + 1)
-        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    for kind, a in ((0, counts), (1, bits)):
-        at = np.flatnonzero(a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), kind, np.int8)), pa.array(at.astype(np.int32)), pa.array(a[at].view(np.int64))], names=["kind", "slot", "value"]
-        )
-
-
-def _postings(sketch: np.ndarray, bits: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, terms = _pieces(b.column("norm").to_pylist())
-            key = (rows << 40) | sketch[(terms % np.uint64(SLOTS)).astype(np.int64)]
-            order = np.lexsort((terms, key))
-            rows, terms = rows[order], terms[order]
-            first = np.ones(len(rows), dtype=bool)
-            first[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
-            rows, terms = rows[first], terms[first]
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(off))[: len(h)]
+    whole = np.arange(len(h)) + GRAM <= off[row.astype(np.int64) + 1]
+    key = np.sort((row[whole] << np.uint64(48)) | (h[whole] >> np.uint64(16)))
+    if len(key):
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with the number of its pieces, their parities (256 bits) and its terms."""
+    for big in batches:
+        for at in range(0, big.num_rows, 1000):
+            b = big.slice(at, 1000)
+            rows, piece = _pieces(b.column("norm").to_pylist())  # texts of MIN_CHARS, so all have pieces
             n = np.bincount(rows, minlength=b.num_rows)
             begin = np.cumsum(n) - n
-            rest = (n + begin)[rows] - np.arange(len(rows))  # pieces from this one on
-            parity = np.zeros((2, b.num_rows), dtype=np.uint64)
-            bit = (terms >> np.uint64(20)) & np.uint64(127)
-            for half in (0, 1):
-                one = np.where(bit >> np.uint64(6) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-                if len(one):
-                    parity[half, n > 0] = np.bitwise_xor.reduceat(one, begin[n > 0])
-            train = np.array(b.column("train").to_pylist(), dtype=bool)
-            kept = n[rows] - rest <= n[rows] // 5
-            at = terms >> np.uint64(64 - BITS.bit_length() + 1)
-            met = ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) == 1
-            kept &= ~train[rows] | met
-            r = rows[kept]
-            k1 = b.column("k1").to_numpy(zero_copy_only=False)
-            cols = [terms[kept].view(np.int64), k1[r], train[r], n[r].astype(np.int32), rest[kept].astype(np.int32), parity[0, r].view(np.int64), parity[1, r].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["term", "k", "train", "n", "rest", "p0", "p1"])
+            bit = piece & np.uint64(255)
+            parity = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == q, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), begin) for q in range(4)]
+            low = (mix(piece) >> np.uint64(32)).astype(np.uint32)
+            terms = np.zeros((b.num_rows, BANDS), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(BANDS):
+                    h = np.full(b.num_rows, k + 1, np.uint64)
+                    for f in range(k * WIDTH, (k + 1) * WIDTH):
+                        v = low * _ODD[f]
+                        v ^= v >> np.uint32(15)
+                        v += _ADD[f]
+                        v *= _ODD[f - 1]
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, begin))
+                    terms[:, k] = h
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(terms.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            cols = [*b.columns, pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in parity], lists]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n", "p0", "p1", "p2", "p3", "terms"])
+
+
+def _map(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of the map of terms that are not 0, of one task."""
+        words = np.zeros(bits // 64, dtype=np.uint64)
+        for b in batches:
+            at = b.column("terms").flatten().to_numpy().view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        slot = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(words[slot].view(np.int64))], names=["slot", "bits"])
+
+    return run
+
+
+def _postings(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text and term; those of train only where the map has the term."""
+        for b in batches:
+            term = b.column("terms").flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), BANDS)
+            if shared is not None:
+                words = shared.value
+                at = term.view(np.uint64) % np.uint64(len(words) * 64)
+                met = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                keep = (met == 1) | ~b.column("train").to_numpy(zero_copy_only=False)[row]
+                term, row = term[keep], row[keep]
+            rest = [b.column(c).take(pa.array(row)) for c in ("k1", "train", "n", "p0", "p1", "p2", "p3")]
+            yield pa.RecordBatch.from_arrays([pa.array(term), *rest], names=["term", "k", "train", "n", "p0", "p1", "p2", "p3"])
 
     return run
 
@@ -91,16 +113,47 @@ def _grams(s: str) -> set[str]:
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact dot product of the 5-character pieces, as cosine and as share of the union."""
-    for b in batches:
-        out = []
-        for e1, e2, t1, t2, a, c in zip(*(b.column(x).to_pylist() for x in ("e1", "e2", "t1", "t2", "e_norm", "t_norm"))):
-            x, y = (_grams(a), _grams(c)) if a != c else (g := _grams(a), g)
-            dot = len(x & y)
-            if 5 * dot >= 4 * (len(x) + len(y) - dot):
-                out.append((e1, e2, t1, t2, dot / (len(x) * len(y)) ** 0.5, dot / (len(x) + len(y) - dot)))
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["e1", "e2", "t1", "t2", "cosine", "jaccard"])
+    for big in batches:
+        for at in range(0, big.num_rows, 4000):
+            b = big.slice(at, 4000)
+            e, t = b.column("e_norm").to_pylist(), b.column("t_norm").to_pylist()
+            keys, sizes = [], []
+            for side in (e, t):
+                row, piece = _pieces(side)
+                sizes.append(np.bincount(row, minlength=b.num_rows))
+                keys.append((row.astype(np.uint64) << np.uint64(48)) | piece)
+            key = np.sort(np.concatenate(keys))
+            both = key[1:][key[1:] == key[:-1]]
+            dot = np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=b.num_rows)
+            union = sizes[0] + sizes[1] - dot
+            for i in np.flatnonzero(np.abs(5 * dot - 4 * union) <= 45):  # hashes may meet: near the limit the pieces themselves are compared
+                x, y = _grams(e[i]), _grams(t[i])
+                sizes[0][i], sizes[1][i], dot[i] = len(x), len(y), len(x & y)
+                union[i] = len(x) + len(y) - dot[i]
+            ok = np.flatnonzero(5 * dot >= 4 * union)
+            cols = [b.column(c).take(pa.array(ok)) for c in ("e1", "e2", "t1", "t2")]
+            cosine, jaccard = dot[ok] / np.sqrt(sizes[0][ok] * sizes[1][ok]), dot[ok] / union[ok]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cosine), pa.array(jaccard)], names=["e1", "e2", "t1", "t2", "cosine", "jaccard"])
+
+
+def _candidates(p: DataFrame) -> DataFrame:
+    """(ek, tk): pairs of an evaluation and a train text that share a term and pass the bounds; repeated ones too."""
+    both = p.groupBy("term").agg(F.count_if(~F.col("train")).alias("e"), F.count_if("train").alias("t")).where("e > 0 and t > 0")
+    hot = both.select("term", F.ceil(F.col("e") * F.col("t") / HOT).cast("int").alias("parts")).where("parts > 1")
+    few = hot.limit(10_001).count()
+    salt = F.lit(0)
+    if few:
+        p = p.join(F.broadcast(hot) if few <= 10_000 else hot, "term", "left")
+        parts = F.coalesce("parts", F.lit(1))
+        salt = F.when(F.col("train"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod("k", parts).cast("int")))
+        p = p.select("*", F.explode(salt).alias("salt")).drop("parts")
+    else:
+        p = p.withColumn("salt", salt)
+    e, t = (p.where(w).select("term", "salt", *[F.col(c).alias(x + c) for c in ("k", "n", "p0", "p1", "p2", "p3")]) for x, w in (("e", "not train"), ("t", "train")))
+    total = F.col("en").cast("long") + F.col("tn")
+    differ = sum((F.bit_count(F.col(f"ep{q}").bitwiseXOR(F.col(f"tp{q}"))) for q in range(1, 4)), F.bit_count(F.col("ep0").bitwiseXOR(F.col("tp0"))))
+    sizes = 5 * F.least("en", "tn").cast("long") >= 4 * F.greatest("en", "tn").cast("long")
+    return e.join(t, ["term", "salt"]).where(sizes & (9 * differ <= total)).select("ek", "tk")
 
 
 def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,27 +170,20 @@ def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).where(F.col("record_id").isNotNull() & F.col("split").isin("train", "validation", "test") & (F.length("norm") >= MIN_CHARS))
     r = r.select("*", (F.col("split") == "train").alias("train"), F.xxhash64(F.lit(1), "norm").alias("k1"), F.xxhash64(F.lit(2), "norm").alias("k2"))
     members = r.select("record_id", "split", "source", "train", "k1", "k2")
-    texts = materialize(r.select("k1", "k2", "train", "norm").dropDuplicates(["k1", "k2", "train"]), "p2texts")
-
-    small = texts.select("norm", "train").mapInArrow(_sketch, "kind byte, slot int, value long")
-    small = small.groupBy("kind", "slot").agg(F.sum(F.when(F.col("kind") == 0, F.col("value"))).alias("n"), F.bit_or("value").alias("bits"))
-    got = small.toArrow()  # at most SLOTS + BITS / 64 rows
-    kind, slot = got["kind"].to_numpy(), got["slot"].to_numpy()
-    sketch, bits = np.zeros(SLOTS, dtype=np.int64), np.zeros(BITS // 64, dtype=np.uint64)
-    sketch[slot[kind == 0]] = got["n"].to_numpy()[kind == 0]
-    bits[slot[kind == 1]] = got["bits"].to_numpy()[kind == 1].view(np.uint64)
-    shared = spark.sparkContext.broadcast((sketch, bits))
-
-    def postings(batches):
-        yield from _postings(*shared.value)(batches)
-
-    p = texts.select("k1", "train", "norm").mapInArrow(postings, "term long, k long, train boolean, n int, rest int, p0 long, p1 long")
-    e, t = (p.where(w).select("term", *[F.col(c).alias(x + c) for c in ("k", "n", "rest", "p0", "p1")]) for x, w in (("e", "not train"), ("t", "train")))
-    both = F.col("en").cast("long") + F.col("tn")
-    differ = F.bit_count(F.col("ep0").bitwiseXOR(F.col("tp0"))) + F.bit_count(F.col("ep1").bitwiseXOR(F.col("tp1")))
-    sizes = 5 * F.least("en", "tn").cast("long") >= 4 * F.greatest("en", "tn").cast("long")
-    hits = e.join(t, "term").where(sizes & (9 * F.least("erest", "trest").cast("long") >= 4 * both) & (9 * differ <= both))
-    near = materialize(hits.select("ek", "tk").distinct(), "p2near")
+    kinds = "k1 long, k2 long, train boolean, norm string, n int, p0 long, p1 long, p2 long, p3 long, terms array<long>"
+    texts = materialize(r.select("k1", "k2", "train", "norm").dropDuplicates(["k1", "k2", "train"]).mapInArrow(_described, kinds), "p2texts")
+
+    small = texts.select("k1", "train", "n", "p0", "p1", "p2", "p3", "terms")
+    terms = texts.where("not train").count() * BANDS
+    shared = None
+    if 16 * terms <= MAP_BITS:
+        bits = max(1 << 16, 1 << (16 * terms).bit_length())
+        got = texts.where("not train").select("terms").mapInArrow(_map(bits), "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, dtype=np.uint64)
+        words[got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        shared = spark.sparkContext.broadcast(words)
+    p = small.mapInArrow(_postings(shared), "term long, k long, train boolean, n int, p0 long, p1 long, p2 long, p3 long")
+    near = materialize(_candidates(materialize(p, "p2terms")).distinct(), "p2near")
     et = texts.where("not train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("norm").alias("e_norm"))
     tt = texts.where("train").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("norm").alias("t_norm"))
     pairs = near.join(et, near.ek == et.e1).join(tt, F.col("tk") == tt.t1).select("e1", "e2", "t1", "t2", "e_norm", "t_norm")
@@ -165,6 +211,18 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record of a split: its class of equal texts, and the number of classes of the other side that it overlaps.
+
+    The form for large families, where the pairs of p2_found are too many: all links are counted, none is expanded.
+    """
+    members, links = overlap_classes(load(spark, sf_dir, "corpus_records").select("record_id", "text", "split", "source"))
+    ends = [links.select(F.col(f"{x}1").alias("k1"), F.col(f"{x}2").alias("k2"), F.lit(x == "t").alias("train")) for x in "et"]
+    n = ends[0].union(ends[1]).groupBy("k1", "k2", "train").agg(F.count("*").alias("links"))
+    m = members.select("record_id", "split", "train", "k1", "k2").distinct().join(n, ["k1", "k2", "train"], "left")
+    return m.select("record_id", "split", F.hex("k1").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 SQL = {
     "p2_found": """WITH n AS (
       SELECT DISTINCT record_id, split = 'train' AS train, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS t
@@ -184,4 +242,4 @@ SQL = {
     FROM l JOIN k kx ON kx.id = x JOIN k ky ON ky.id = y JOIN n e ON e.t = kx.t AND NOT e.train JOIN n t ON t.t = ky.t AND t.train
     WHERE e.record_id <> t.record_id""",
 }
-QUERIES = {"p2_found": p2_found, "p2_overlap_report": p2_overlap_report}
+QUERIES = {"p2_found": p2_found, "p2_overlap_report": p2_overlap_report, "p2_record_links": p2_record_links}
