@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textkraal.llm._flat import codes_of, gram_hashes, mix, segment_hashes
+from textkraal.operators.records import bounded_sample
 from textkraal.session import load
 
 LANGS = ["xh", "en", "af", "zu", "st"]
@@ -115,6 +116,8 @@ class LanguageFilters:
     """
 
     def __init__(self, samples: list[tuple[str, str]], share: float = 0.15):
+        if len(LANGS) > 8:
+            raise ValueError("a slot has a byte, so the table takes eight languages")
         texts = [t for _, t in samples]
         words = Words(texts)
         lang = np.array([LANGS.index(x) for x, _ in samples] or [0])
@@ -277,9 +280,9 @@ def filters_for(spark: SparkSession, sf_dir: str, docs: int = TRAIN_DOCS) -> Lan
     """Filters from language_samples (360 rows) and at most `docs` labelled documents, chosen by hash."""
     s = load(spark, sf_dir, "language_samples").select("lang", "text").dropna().collect()
     samples = [(LABELS[r[0].strip().lower()], r[1]) for r in s if r[0].strip().lower() in LABELS]
-    d = load(spark, sf_dir, "documents").select("lang", "text", F.xxhash64("doc_id").alias("h")).dropna()
-    d = d.where(F.lower(F.trim("lang")).isin(*LABELS)).orderBy("h", "text").limit(docs).collect() if docs else []
-    return train_filters(samples, [(LABELS[r[0].strip().lower()], r[1]) for r in d])
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "text").dropna(subset=["lang", "text"])
+    d = bounded_sample(d.where(F.lower(F.trim("lang")).isin(*LABELS)), ["doc_id", "text"], docs).collect() if docs else []
+    return train_filters(samples, [(LABELS[r.lang.strip().lower()], r.text) for r in d])
 
 
 CLASSES = ["TARGET_LANGUAGE", "MIXED_LANGUAGE", "FOREIGN_LANGUAGE", "UNCERTAIN"]
