@@ -24,15 +24,15 @@ PLACEHOLDERS = [
 
 _ORD = r"(?:\d+\s*(?:st|nd|rd|th)?|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|new|revised)"
 _NUM = r"(?:\d+|[ivxlc]+)"
-#: A closing note of edition, printing or volume.
+#: Closing notes of edition, printing or volume, one or several.
 NOTE = (
-    r"(?i)[\s\p{P}]*(?:(?<=[\s\p{P}])|^)(?:"
+    r"(?i)(?:[\s\p{P}]*(?:(?<=[\s\p{P}])|^)(?:"
     rf"{_ORD}[\s\-]*(?:ed|edn|edition|printing|print|impression|reprint)\b"
     rf"|(?:ed|edn|edition|printing|impression)\.?\s*{_NUM}"
     rf"|re-?print(?:ed)?(?:\s+{_NUM})?"
     rf"|u?shicilelo(?:\s+l\p{{L}}*)?[\s\-]*{_NUM}"
     rf"|(?:vol|volume|umqulu|part|icandelo)\b\.?\s*{_NUM}"
-    r")[\s\p{P}]*$"
+    r"))+[\s\p{P}]*$"
 )
 
 
@@ -50,13 +50,14 @@ def linked_nodes(records: DataFrame) -> DataFrame:
     )
 
 
-def source_components(nodes: DataFrame) -> DataFrame:
-    """(node, label) over 's:source' and 'w:work' keys; isolated sources and works are components of one."""
+def source_components(nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(node, label) over 's:source' and 'w:work' keys; isolated sources and works are components of one. more: further edges (a, b)."""
     e = nodes.select(
         F.coalesce(F.concat(F.lit("s:"), "source"), F.concat(F.lit("w:"), "work")).alias("a"),
         F.coalesce(F.concat(F.lit("w:"), "work"), F.concat(F.lit("s:"), "source")).alias("b"),
     )
-    return connected_components(e.where("a is not null").distinct())
+    e = e.where("a is not null")
+    return connected_components((e if more is None else e.union(more)).distinct())
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +112,12 @@ def assign_splits(records: DataFrame, shares: dict[str, float] | None = None, bi
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     spark = records.sparkSession
     nodes = linked_nodes(records).distinct()
-    comp = source_components(nodes)
     key = F.coalesce(F.concat(F.lit("s:"), "source"), F.concat(F.lit("w:"), "work"))
     own = F.concat(F.lit("r:"), F.col("record_id"))
+    # the rows of one record may differ in source or work; then the record links them
+    several = nodes.select("record_id", own.alias("a"), key.alias("b")).where("b is not null").distinct()
+    several = several.join(several.groupBy("record_id").count().where("count > 1").select("record_id"), "record_id", "left_semi").select("a", "b")
+    comp = source_components(nodes, several)
     labelled = (
         nodes.withColumn("node", F.coalesce(key, own)).join(comp, "node", "left")
         .groupBy("record_id").agg(F.min(F.coalesce("label", "node")).alias("component"))
@@ -147,5 +151,13 @@ def p3_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("split", "records", "components", F.round(F.col("records") / F.col("total"), 6).alias("share"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_assigned_splits": p3_assigned_splits, "p3_split_shares": p3_split_shares}
+def p3_source_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source with its component: the smallest source of it; the form for large components, where pairs are too many."""
+    c = source_components(linked_nodes(load(spark, sf_dir, "corpus_records")))
+    s = c.where("startswith(node, 's:')").select(F.substring("node", 3, 1 << 30).alias("source"), "label")
+    first = s.groupBy("label").agg(F.min("source").alias("component"), F.count("*").alias("sources"))
+    return s.join(first, "label").select("source", "component", "sources")
+
+
+QUERIES = {"p3_found": p3_found, "p3_assigned_splits": p3_assigned_splits, "p3_split_shares": p3_split_shares, "p3_source_components": p3_source_components}
 SQL: dict[str, str] = {}
