@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textkraal.functions.normalize import clean_key, pieces
+from textkraal.functions.normalize import clean_key
 from textkraal.session import load
 
 #: Words, runs of punctuation and runs of white space, as the tokenizer cuts a text.
-PIECE = re.compile(r"(\w+)|[^\w\s]+|\s+")
+PIECE = re.compile(r"((\w+)|[^\w\s]+|\s+)")
 #: Distinct words a task remembers the count of before it starts anew.
 REMEMBERED = 200_000
 
@@ -97,10 +97,20 @@ class TokenTrie:
             i -= len(last[i])
         return out[::-1]
 
-    def count(self, text: str) -> int:
-        """Tokens of a text: those of its words, and one for each run of punctuation or white space."""
-        n, seen = 0, self.seen
-        for w in PIECE.findall(text):
+    def count(self, text: str) -> tuple[int, int]:
+        """(tokens, pieces) of a text: the tokens of its words, and one for each run of punctuation or white space.
+
+        The tokens of white space part the pieces: each stretch of other tokens between them is one.
+        """
+        n, pieces, apart, seen = 0, 0, True, self.seen
+        for run, w in PIECE.findall(text):
+            if run.isspace():
+                n += 1
+                apart = True
+                continue
+            if apart:
+                pieces += 1
+                apart = False
             if not w:
                 n += 1
             else:
@@ -110,7 +120,7 @@ class TokenTrie:
                         seen.clear()
                     c = seen[w] = len(self.split(w))
                 n += c
-        return n
+        return n, pieces
 
 
 def read_merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]]:
@@ -119,29 +129,29 @@ def read_merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, str, str]]:
     return [(r[0], r[1], r[2]) for r in rows]
 
 
-def token_counts(records: DataFrame, merges: list[tuple[int, str, str]], text: str = "text", out: str = "tokens") -> DataFrame:
-    """records with the number of tokens of text added. Null text counts as no token; all columns are kept."""
+def token_counts(records: DataFrame, merges: list[tuple[int, str, str]], text: str = "text", out: str = "tokens", pieces: str = "pieces") -> DataFrame:
+    """records with the numbers of tokens of text, and of its pieces between tokens of white space, added.
+
+    Null text counts as no token and no piece; all columns are kept, so out and pieces must be new names.
+    """
     spark = records.sparkSession
     shared = spark.sparkContext.broadcast(merges)
-    schema = T.StructType([*records.schema.fields, T.StructField(out, T.IntegerType())])
+    schema = T.StructType([*records.schema.fields, T.StructField(pieces, T.IntegerType()), T.StructField(out, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = TokenTrie(shared.value)
         for b in batches:
-            n = [trie.count(t) if t else 0 for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32())], names=[*b.schema.names, out])
+            n = [trie.count(t) if t else (0, 0) for t in b.column(text).to_pylist()]
+            cols = [pa.array([x[i] for x in n], pa.int32()) for i in (1, 0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, pieces, out])
 
     return records.mapInArrow(run, schema)
 
 
 def counted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct record with its pieces between white space and its tokens.
-
-    Repeated rows of a record_id count once; rows without record_id are left out.
-    """
+    """Every row that has a record_id, with its pieces between white space and its tokens."""
     r = load(spark, sf_dir, "corpus_records").where("record_id is not null")
     r = r.select("record_id", "text", "token_count", "source", "language_class", "orthography", "source_type")
-    r = r.withColumn("pieces", F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces(F.col("text")))))
     return token_counts(r, read_merges(spark, sf_dir)).drop("text")
 
 
@@ -170,7 +180,6 @@ def p5_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textkraal.llm.p1_language import detect_languages, filters_for
 
     r = load(spark, sf_dir, "corpus_records").where("record_id is not null").select("record_id", "text", "source", "orthography", "source_type")
-    r = r.withColumn("pieces", F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces(F.col("text")))))
     found = detect_languages(token_counts(r, read_merges(spark, sf_dir)), filters_for(spark, sf_dir))
     flat = found.select(
         "record_id", "pieces", "tokens", F.array_join(F.array_sort("languages"), "+").alias("language"),
