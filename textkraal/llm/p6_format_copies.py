@@ -42,23 +42,21 @@ def format_copies(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     )
     groups = materialize(groups, "p6groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = groups.n >= max(2.0, total * HOT)
-    heads = rows.join(
-        groups, (rows.id == groups.kept_id) & (rows.f1 == groups.f1) & (rows.f2 == groups.f2)
-    ).select(rows.f1, rows.f2, "kept_id", (F.col("n") >= max(2.0, total * HOT)).alias("hot"), *[rows[c].alias(f"k_{c}") for c in fields])
-    heads = materialize(heads.dropDuplicates(["f1", "f2"]), "p6heads")
+    groups = groups.withColumn("hot", F.col("n") >= max(2.0, total * HOT))
     # at most 1/HOT rows are broadcast; rows of hot groups never go through a shuffle on the fingerprint
-    few = F.broadcast(heads.where("hot").drop("hot"))
-    rest = heads.where("not hot").drop("hot")
-    keys = F.broadcast(groups.where(hot).select("f1", "f2"))
-    same = F.lit(True)
-    for c in fields:
-        same = same & (F.col(c) == F.col(f"k_{c}"))
-    out = None
-    for part in (rows.join(few, ["f1", "f2"]), rows.join(keys, ["f1", "f2"], "left_anti").join(rest, ["f1", "f2"])):
-        part = part.where(same & (F.col("id") != F.col("kept_id"))).select("kept_id", F.col("id").alias("copy_id"))
-        out = part if out is None else out.union(part)
-    return out.distinct()
+    few, rest = F.broadcast(groups.where("hot")), groups.where("not hot")
+    own = [F.col(c) for c in ("id", "f1", "f2", "kept_id", "hot", *fields)]
+    cold = rows.join(F.broadcast(groups.where("hot").select("f1", "f2")), ["f1", "f2"], "left_anti").join(rest, ["f1", "f2"])
+    members = materialize(rows.join(few, ["f1", "f2"]).select(*own).union(cold.select(*own)), "p6members")
+    heads = members.where("id = kept_id").groupBy("f1", "f2", "hot").agg(F.min(F.struct(*fields)).alias("head"))
+    this = F.struct(*fields)
+    of = [members.join(F.broadcast(heads.where("hot").drop("hot")), ["f1", "f2"]), members.where("not hot").join(heads.where("not hot").drop("hot"), ["f1", "f2"])]
+    joined = materialize(of[0].union(of[1]).select("id", "kept_id", (this == F.col("head")).alias("same"), *[F.when(this != F.col("head"), F.col(c)).alias(c) for c in fields]), "p6compared")
+    # texts that share a fingerprint with others are grouped by the fields themselves; there are hardly any
+    odd = joined.where("not same").select("id", *fields)
+    odd = odd.join(odd.groupBy(*fields).agg(F.min("id").alias("kept_id")), fields)
+    out = joined.where("same").select("kept_id", F.col("id").alias("copy_id")).union(odd.select("kept_id", "id"))
+    return out.where("kept_id <> copy_id").distinct()
 
 
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +80,11 @@ def p6_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("kept_id").agg((F.count("*") + 1).alias("copies"))
 
 
+def p6_record_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the corpus that agree in text, title and source alike."""
+    return format_copies(load(spark, sf_dir, "corpus_records"), "record_id", ["text", "source_title", "source"])
+
+
 _SQL = """
 WITH t AS (
   SELECT record_id, text FROM corpus_records
@@ -94,6 +97,11 @@ WITH t AS (
 
 SQL = {
     "p6_found": _SQL + "SELECT DISTINCT kept_id, id AS copy_id FROM n JOIN g USING (k) WHERE id <> kept_id",
+    "p6_record_copies": """WITH n AS (SELECT DISTINCT record_id AS id, k1, k2, k3 FROM (SELECT record_id,
+        regexp_replace(lower(coalesce(text, '')), '[^\\pL\\pN]', '', 'g') AS k1, regexp_replace(lower(coalesce(source_title, '')), '[^\\pL\\pN]', '', 'g') AS k2,
+        regexp_replace(lower(coalesce(source, '')), '[^\\pL\\pN]', '', 'g') AS k3 FROM corpus_records WHERE record_id IS NOT NULL) WHERE k1 || k2 || k3 <> ''),
+      g AS (SELECT k1, k2, k3, min(id) AS kept_id FROM n GROUP BY ALL)
+      SELECT DISTINCT kept_id, id AS copy_id FROM n JOIN g USING (k1, k2, k3) WHERE id <> kept_id""",
     "p6_copy_counts": _SQL + "SELECT kept_id, count(*) AS copies FROM n JOIN g USING (k) GROUP BY kept_id",
 }
-QUERIES = {"p6_found": p6_found, "p6_copy_counts": p6_copy_counts}
+QUERIES = {"p6_found": p6_found, "p6_copy_counts": p6_copy_counts, "p6_record_copies": p6_record_copies}
