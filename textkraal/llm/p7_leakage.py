@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkraal.functions.normalize import letters_digits
@@ -20,6 +21,9 @@ from textkraal.llm._flat import codes_of, gram_hashes
 from textkraal.session import load
 
 WORDS = 10
+#: Characters of items in one automaton, which is broadcast (some 500 bytes a character). More items go in blocks, each
+#: of which is one pass over the documents.
+BLOCK_CHARS = 400_000
 #: Old spelling and the letters it stands for (fixed values).
 OLD_SPELLING = {"6": "bh", "5": "hl"}
 _OTHER = re.compile(r"[\W_]+")
@@ -64,8 +68,7 @@ class SuffixAutomaton:
         self.above = [-1] * len(self.len)
         for v in sorted(range(len(self.len)), key=self.len.__getitem__):
             self.above[v] = v if v in self.ends else (self.above[self.link[v]] if v else -1)
-        self.shortest = min(map(len, found), default=0)
-        self.heads = {p[: min(16, self.shortest)] for p in found}
+        self.passages = sorted(found)
 
     def _extend(self, last: int, ch: str) -> int:
         nxt, link, ln = self.next, self.link, self.len
@@ -116,29 +119,48 @@ class SuffixAutomaton:
 
 
 class Screen:
-    """Rules out texts without the first characters of any passage, by hash; it never rules out a match."""
+    """Rules out texts without the first characters of any passage, by hash; it never rules out a match.
+
+    Passages are screened by their first 16 characters, shorter ones apart by their first 8, 4, 2 or 1, so that a short
+    item does not let every text through for the others.
+    """
 
     BITS = 1 << 20
 
-    def __init__(self, heads: set[str]):
-        self.k = len(next(iter(heads))) if heads else 0
-        self.map = np.zeros(self.BITS, dtype=bool)
-        self.known = np.zeros(0, dtype=np.uint64)
-        if heads:
-            flat, _ = codes_of(sorted(heads))
-            self.known = np.unique(gram_hashes(flat, self.k)[:: self.k])
-            self.map[(self.known % np.uint64(self.BITS)).astype(np.int64)] = True
+    def __init__(self, passages: list[str]):
+        self.by: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for k in (16, 8, 4, 2, 1):
+            heads = sorted({p[:k] for p in passages if k <= len(p) and (k == 16 or len(p) < 2 * k)})
+            if heads:
+                known = np.unique(gram_hashes(codes_of(heads)[0], k)[::k])
+                on = np.zeros(self.BITS, dtype=bool)
+                on[(known % np.uint64(self.BITS)).astype(np.int64)] = True
+                self.by.append((k, on, known))
 
     def passed(self, texts: list[str]) -> np.ndarray:
         """Indices of the texts that may hold a passage."""
-        if not self.k or not texts:
-            return np.zeros(0, np.int64)
         flat, off = codes_of(texts)
-        h = gram_hashes(flat, self.k)
-        hit = np.flatnonzero(self.map[(h % np.uint64(self.BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.known, h[hit]), len(self.known) - 1)
-        hit = hit[self.known[at] == h[hit]]  # the map alone lets one position in a hundred through
-        return np.unique(np.searchsorted(off, hit, side="right") - 1)
+        out = [np.zeros(0, np.int64)]
+        for k, on, known in self.by:
+            h = gram_hashes(flat, k)
+            hit = np.flatnonzero(on[(h % np.uint64(self.BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(known, h[hit]), len(known) - 1)
+            hit = hit[known[at] == h[hit]]  # the map alone lets one position in a hundred through
+            out.append(np.searchsorted(off, hit, side="right") - 1)
+        return np.unique(np.concatenate(out))
+
+
+def blocks(items: list[tuple[int, str]], most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
+    """The items in order, in blocks of at most `most` characters; a longer item is a block of its own. One block at least."""
+    out: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for item in items:
+        if out[-1] and size + len(item[1]) > most:
+            out.append([])
+            size = 0
+        out[-1].append(item)
+        size += len(item[1])
+    return out
 
 
 def read_items(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
@@ -147,16 +169,23 @@ def read_items(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
     return [(r[0], r[1]) for r in rows if bare(r[1])]
 
 
+def _norm(text: str) -> Column:
+    """bare() of a column; null as an empty text."""
+    norm = letters_digits(F.col(text))
+    for a, b in OLD_SPELLING.items():
+        norm = F.replace(norm, F.lit(a), F.lit(b))
+    return F.coalesce(norm, F.lit(""))
+
+
 def leaked(docs: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, item_id) of every document that holds a passage of an item.
 
-    Null and empty texts hold none; repeated documents give repeated rows; without items there are no rows.
+    More than BLOCK_CHARS characters of items are taken in blocks, so what is broadcast is bounded. Null and empty texts hold none; repeated documents give repeated rows; without items there are no rows.
     """
+    if len(parts := blocks(items)) > 1:
+        return reduce(DataFrame.union, [leaked(docs, part, key, text, words) for part in parts])
     auto = SuffixAutomaton(items, words)
-    shared = docs.sparkSession.sparkContext.broadcast((auto, Screen(auto.heads)))
-    norm = letters_digits(F.col(text))
-    for a, b in OLD_SPELLING.items():
-        norm = F.replace(norm, F.lit(a), F.lit(b))
+    shared = docs.sparkSession.sparkContext.broadcast((auto, Screen(auto.passages)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +199,7 @@ def leaked(docs: DataFrame, items: list[tuple[int, str]], key: str = "doc_id", t
                 who += sorted(found)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(who, pa.int64())], names=[key, "item_id"])
 
-    d = docs.select(F.col(key), F.coalesce(norm, F.lit("")).alias("norm"))
+    d = docs.select(F.col(key), _norm(text).alias("norm"))
     return d.mapInArrow(run, f"`{key}` {kind}, item_id bigint")
 
 
@@ -201,27 +230,28 @@ def cleaned(docs: DataFrame, items: list[tuple[int, str]], key: str = "doc_id",
 
     Only documents with a leak are rewritten; the others keep their text and have 0 removed characters.
     """
-    auto = SuffixAutomaton(items, words)
-    shared = docs.sparkSession.sparkContext.broadcast((auto, Screen(auto.heads)))
+    of_block = []
+    for part in blocks(items):
+        auto = SuffixAutomaton(part, words)
+        of_block.append(docs.sparkSession.sparkContext.broadcast((auto, Screen(auto.passages))))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, screen = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            norm = [bare(t) if t else "" for t in texts]
-            cut = [0] * len(texts)
-            for i in screen.passed(norm).tolist():
-                own, at = positions(texts[i])
-                gone = np.zeros(len(texts[i]), dtype=bool)
-                for s, e, _ in auto.matches(own):
-                    gone[at[s] : at[e - 1] + 1] = True
-                if n := int(gone.sum()):
-                    cut[i] = n
-                    texts[i] = None if n > coverage * len(gone) else "".join(c for c, g in zip(texts[i], gone) if not g)
+            texts, norm = b.column(1).to_pylist(), b.column(2).to_pylist()
+            cut, gone = [0] * len(texts), {}
+            for part in of_block:
+                auto, screen = part.value
+                for i in screen.passed(norm).tolist():
+                    own, at = positions(texts[i])
+                    for s, e, _ in auto.matches(own):
+                        gone.setdefault(i, np.zeros(len(texts[i]), dtype=bool))[at[s] : at[e - 1] + 1] = True
+            for i, g in gone.items():
+                cut[i] = int(g.sum())
+                texts[i] = None if cut[i] > coverage * len(g) else "".join(c for c, x in zip(texts[i], g) if not x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cut, pa.int64())], names=[key, "clean_text", "removed_chars"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, clean_text string, removed_chars bigint")
+    return docs.select(key, text, _norm(text).alias("_norm")).mapInArrow(run, f"`{key}` {kind}, clean_text string, removed_chars bigint")
 
 
 def p7_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
