@@ -160,9 +160,9 @@ def test_overlap_of_nothing(spark):
 
 
 def test_work_key(spark):
-    rows = ["Amaphiko: uKatshugqa leenkuni (2nd ed.)", "amaphiko ukatshugqa  leenkuni [reprint]", "AMAPHIKO-UKATSHUGQA LEENKUNI, ushicilelo 3", "Amaphiko uKatshugqa leenkuni — Umqulu II", "Untitled.", " - ", None, "n/a"]
+    rows = ["Amaphiko: uKatshugqa leenkuni (2nd ed.)", "amaphiko ukatshugqa  leenkuni [reprint]", "AMAPHIKO-UKATSHUGQA LEENKUNI, ushicilelo 3", "Amaphiko uKatshugqa leenkuni — Umqulu II", "Amaphiko uKatshugqa leenkuni (2nd ed.) [reprint], vol. 3", "Untitled.", " - ", None, "n/a"]
     got = [r.k for r in spark.createDataFrame([(t,) for t in rows], "t string").select(p3.work_key(F.col("t")).alias("k")).collect()]
-    assert got == ["amaphikoukatshugqaleenkuni"] * 4 + [None] * 4
+    assert got == ["amaphikoukatshugqaleenkuni"] * 5 + [None] * 4
 
 
 def test_splits_keep_links_and_shares(spark):
@@ -176,6 +176,13 @@ def test_splits_keep_links_and_shares(spark):
     assert abs(Counter(r.split for r in a.values())["train"] / 1002 - 0.8) < 0.05
 
 
+def test_rows_of_one_record_link_their_sources(spark):
+    rows = [("a", "t", None, "s1", "Work one"), ("b", "t", None, "s2", "Work two"), ("c", "t", None, "s1", None), ("c", "t", None, "s2", None), ("d", "t", None, "s3", None)]
+    a = {r.record_id: r.component for r in p3.assign_splits(records(spark, rows)).collect()}
+    assert len(a) == 4 and a["a"] == a["b"] == a["c"] != a["d"]
+    assert p3.assign_splits(records(spark, [])).count() == 0
+
+
 def test_differencing_is_near_the_mean():
     rnd = random.Random(1)
     w = [(f"k{i}", rnd.randint(1, 100)) for i in range(400)]
@@ -243,8 +250,12 @@ def test_token_trie_is_exact():
 
 def test_token_counts(spark):
     df = spark.createDataFrame([("a", "aab,  aa", 1), ("b", "", 1), ("c", None, 1)], "record_id string, text string, n int")
-    got = {r.record_id: r.tokens for r in p5.token_counts(df, [(0, "a", "b")]).collect()}
-    assert got == {"a": 2 + 1 + 1 + 2, "b": 0, "c": 0}
+    got = {r.record_id: (r.tokens, r.pieces) for r in p5.token_counts(df, [(0, "a", "b")]).collect()}
+    assert got == {"a": (2 + 1 + 1 + 2, 2), "b": (0, 0), "c": (0, 0)}
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab.-5 \n\u00a0\u2028\x1c\u3000") for _ in range(rnd.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert all(r.pieces == len(r.text.split()) for r in p5.token_counts(df, [(0, "a", "b")]).collect())
     assert p5.token_counts(df.limit(0), [(0, "a", "b")]).count() == 0
 
 
@@ -258,6 +269,12 @@ def test_copies(spark):
     assert p6.format_copies(records(spark, []), "record_id", ["text"]).count() == 0
 
 
+def test_texts_that_share_a_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(p6, "fingerprint", lambda fields, seed: F.lit(7).cast("long"))
+    rows = [("a", "one"), ("b", "two"), ("c", "One"), ("d", "TWO"), ("e", "three"), ("f", "two.")]
+    assert {tuple(r) for r in p6.format_copies(records(spark, rows), "record_id", ["text"]).collect()} == {("a", "c"), ("b", "d"), ("b", "f")}
+
+
 def test_copies_of_a_hot_text_and_two_fields(spark):
     rows = [(f"r{i:04}", "Hot text" if i % 3 == 0 else f"text {i}", None, "S" if i % 2 else "s.") for i in range(3000)]
     got = p6.format_copies(records(spark, rows), "record_id", ["text", "source"]).collect()
@@ -267,10 +284,10 @@ def test_copies_of_a_hot_text_and_two_fields(spark):
 # --- 7
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abehl56") for _ in range(rnd.randint(2, 5))) for _ in range(40)]
-    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 9, 10, 12, 20])))) for i in range(25)] + [(98, "..."), (99, "")]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 9, 10, 12, 20])))) for i in range(25)] + [(97, "Ab"), (98, "..."), (99, "")]
     docs = []
     for i in range(80):
         w = [rnd.choice(words) for _ in range(30)]
@@ -285,22 +302,54 @@ def test_leaks_against_brute_force(spark):
     clean = {r.doc_id: r for r in p7.cleaned(df, items).collect()}
     assert len(clean) == len(docs) and all((clean[d].removed_chars > 0) == any(d == x for x, _ in want) for d, _ in docs)
     assert p7.leaked(df, []).count() == 0
+    assert len(p7.blocks(items, 300)) > 3 and [x for b in p7.blocks(items, 300) for x in b] == items and p7.blocks([]) == [[]]
+    monkeypatch.setattr(p7, "blocks", lambda x, most=300, f=p7.blocks: f(x, most))
+    assert {tuple(r) for r in p7.leaked(df, [x for x in items if p7.bare(x[1])]).collect()} == want
+    assert {r.doc_id: r for r in p7.cleaned(df, items).collect()} == clean
 
 
 # --- 8
 
 
 def test_rates_meet_targets():
-    classes = [("a", None, 1.0, 1000.0), ("b", None, 1.0, 100.0), ("c", None, 1.0, 500.0), ("a", "b", 0.5, 100.0)]
-    rates = p8.fit_rates(classes, {"a": (500.0, 1), "b": (300.0, 4), "none": (10.0, 1)})
-    got_a, got_b = rates[0] * 1000 + rates[3] * 50, rates[1] * 100 + rates[3] * 50
-    assert abs(got_a - 500) < 1 and abs(got_b - 300) < 1 and rates[2] == 0 and rates[3] <= 1
-    assert p8.fit_rates([], {"a": (1.0, 1)}) == [] and p8.fit_rates(classes, {}) == [0.0] * 4
-
+    import numpy as np
 
-def test_repeats_are_capped(spark):
-    r = p8.p8_mix_report(spark, SF).collect()
+    m = np.diag([1000.0, 100.0, 0.0]) + np.array([[25.0, 25.0, 0.0], [25.0, 25.0, 0.0], [0.0, 0.0, 0.0]])
+    rate = p8.fit_rates(m, np.array([500.0, 300.0, 10.0]), np.array([1.0, 4.0, 1.0]))
+    got = m @ rate
+    assert abs(got[0] - 500) < 1 and abs(got[1] - 300) < 1 and (rate <= [1, 4, 1]).all() and (rate >= 0).all()
+    assert p8.fit_rates(np.zeros((0, 0)), np.zeros(0), np.zeros(0)).tolist() == []
+    post, cap = np.array([[0.5, 0.5, 0.0], [0.0, 0.95, 0.05], [0.0, 0.0, 0.0]]), np.array([1.0, 4.0, 1.0])
+    assert p8.soft_rates(post, np.array([1.0, 3.0, 0.0]), cap).round(9).tolist() == [1.0, 2.85, 0.0]
+
+
+def test_repeats_are_capped_and_soft_documents_count_by_their_posterior(spark, tmp_path):
+    d = p8.load(spark, SF, "documents").withColumn("source", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("source")))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    p8.load(spark, SF, "mix_targets").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    sf = str(tmp_path)
+    r = p8.p8_mix_report(spark, sf).collect()
     assert len(r) == 14 and all(x.most_repeats <= x.max_repeats for x in r) and abs(sum(x.actual_share for x in r) - 1) < 1e-4
+    docs, _, names = p8.mixture(spark, sf)
+    rows = docs.collect()
+    assert any(x.posterior for x in rows) and all((x.posterior is None) == (x.source is not None) for x in rows)
+    assert all(abs(sum(x.posterior) - 1) < 1e-9 and len(x.posterior) == len(names) for x in rows if x.posterior)
+    want = {x.source: 0.0 for x in r}
+    for x in rows:
+        for s, p in [(x.source, 1.0)] if x.posterior is None else zip(names, x.posterior):
+            if s in want:
+                want[s] += p * x.tokens * x.repeats
+    assert all(abs(want[x.source] - x.mixed_tokens) <= 1 for x in r)
+
+
+def test_mix_without_targets_or_documents(spark, tmp_path):
+    cases = [([(1, None, None), (2, "a text here", "a"), (2, "a text here", "a"), (3, "", " ")], []), ([], [("a", 1.0, 2)]), ([(1, "x", None)], [("a", 1.0, 2)])]
+    for i, (docs, targets) in enumerate(cases):
+        spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/{i}/mix_targets.parquet")
+        got = p8.p8_document_repeats(spark, f"{tmp_path}/{i}").collect()
+        assert len(got) == len({x[0] for x in docs}) and all(x.repeats == 0 for x in got)
+        assert p8.p8_mix_report(spark, f"{tmp_path}/{i}").count() == len(targets)
 
 
 # --- 9
