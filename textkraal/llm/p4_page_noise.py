@@ -1,9 +1,10 @@
 """Problem 4: noise in text from scanned pages.
 
 Words parted at line ends, headers and page numbers are read off the page itself. Misrecognised letters inside words
-need the corpus: a frequency lexicon of all texts, a symmetric-delete index over it (a segment is deleted from the
-suspect and from the lexicon word; equal remainders at equal places meet), and a weighted edit distance in which pairs
-that scanners confuse are cheap. Of several candidates the one that follows the word before more often is taken.
+need the corpus: a frequency lexicon of all texts, a symmetric-delete index over it (rare and lexicon words meet where
+their shapes, with or without one letter, are equal; a shape has confusable letters made equal), and a weighted edit
+distance in which pairs that scanners confuse are cheap. Of several candidates the one of least cost that follows the
+word before more often is taken.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ CONFUSED = {"c": "e", "b": "h", "n": "u", "i": "l", "!": "i", "rn": "m", "ri": "
 SIGNS = {"0": "o", "1": "l", "2": "z", "9": "g", "!": "i", "@": "a", "¢": "e", "$": "s", "†": "t"}
 STRAY = "`~^¦°·"
 COST = {"c": 0.4, "b": 0.5, "n": 0.5, "i": 0.5, "!": 0.1, "rn": 0.3, "ri": 0.3, "cl": 0.3, "vv": 0.1, "lc": 0.3, "v": 0.5}
+#: Cost of any other edit, and the most that a misreading may cost: four cheap confusions, or one edit and one of them.
+OTHER, MOST_COST = 1.2, 1.7
+#: Letters of the shortest words, and of the shapes, that are looked up by symmetric deletes.
+SHORTEST, LONG = 3, 7
 #: A lexicon word must be this often in the corpus, and so many times as often as the suspect.
-KNOWN, TIMES, TIMES_ON_NOISY_PAGES = 4, 60, 6
+KNOWN, TIMES, TIMES_ON_NOISY_PAGES, TIMES_ANY_EDIT = 4, 60, 6, 600
 #: Slots of the sketches of word pairs and of suspects: fixed, whatever the input.
 PAIR_SLOTS, SUSPECT_BITS = 1 << 20, 1 << 24
 
@@ -55,13 +60,21 @@ PAGE_INLINE = re.compile(
 )
 HEAD_NUMBER = re.compile(rf"^\s*(?:\W?\s*\d{{1,3}}\s*\W?\s{{2,}})|\s{{2,}}\W?\s*\d{{1,3}}\s*\W?\s*$|(?:—|-)\s*\[\d{{1,3}}\]\s*$|^\s*\[\d{{1,3}}\]\s*|\s*\[\d{{1,3}}\]\s*$")
 _NOTE = re.compile(NOTE.replace(r"\p{P}", r"!-/:-@\[-`{-~—–‐”“").replace(r"\p{L}", r"^\W\d_").replace("[^\\W\\d_]*", "\\w*"))
-_FOLD = str.maketrans({**SIGNS, **{c: None for c in STRAY}})
+_FOLD = str.maketrans({**{chr(c): None for c in range(128) if not chr(c).isalpha()}, **SIGNS, **{c: None for c in STRAY}})
 _SAME = str.maketrans({"b": "h", "c": "e", "u": "n", "i": "l"})
+_TWO = sorted((p, q) for p, q in CONFUSED.items() if len(p) == 2)
+_ONE = str.maketrans({p: q for p, q in CONFUSED.items() if len(p) == 1 and p != "!"} | {"!": CONFUSED["i"]})
+_PAIRS = [(x, y, COST[p]) for p, q in CONFUSED.items() for x, y in ((p, q), (q, p))]
 
 
 def fold(s: str) -> str:
     """Letters of a heading, confusable ones made equal."""
-    s = re.sub(r"[\W\d_]+", "", s.lower().translate(_FOLD))
+    return _fold_letters(s.lower().translate(_FOLD))
+
+
+def _fold_letters(s: str) -> str:
+    if s and not s.isalpha():
+        s = re.sub(r"[\W\d_]+", "", s)
     return s.replace("rn", "m").replace("ri", "n").replace("vv", "w").replace("cl", "d").translate(_SAME)
 
 
@@ -82,10 +95,15 @@ def title_starts(title: str | None) -> list[str]:
 _DIGIT = re.compile(r"\d")
 
 
-def _begins(line: str, whole: str) -> bool:
-    """Whether a line may start as a title does, one misread letter allowed."""
-    f = fold(line[:14])
-    return f[:2] == whole[:2] or f[1:3] == whole[1:3] or f[:1] + f[2:3] == whole[:1] + whole[2:3]
+def _alike(f: str, s: str) -> bool:
+    """Whether two folded headings are nearly the same."""
+    if abs(len(f) - len(s)) > 2 or len(s) < 13:
+        return False
+    # each letter that is in one of them only breaks one block of four letters at most
+    whole = sum(s[i : i + 4] in f for i in range(0, len(s) - 3, 4))
+    if whole < len(s) // 4 - 0.07 * (len(f) + len(s)):
+        return False
+    return difflib.SequenceMatcher(None, f, s).ratio() > 0.93
 
 
 #: The letters that a folded first letter may have been.
@@ -121,11 +139,12 @@ class Page:
             self.numbers.append((at, at + len(line)))
             return
         rest = HEAD_NUMBER.sub(" ", line) if _DIGIT.search(line) else line
-        if starts and rest is line and not _begins(rest, starts[-1]):
-            return
-        f = fold(rest)
+        t = rest.lower().translate(_FOLD)
+        if starts and rest is line and not len(starts[0]) - 3 < len(t) < len(starts[-1]) + 3 + t.count("r") + t.count("v") + t.count("c"):
+            return  # too short or too long for the title, however many pairs of letters become one
+        f = _fold_letters(t)
         n = len(rest.split())
-        if f and starts and any(f == s or (abs(len(f) - len(s)) < 3 and len(s) > 12 and difflib.SequenceMatcher(None, f, s).ratio() > 0.93) for s in starts):
+        if f and starts and any(f == s or _alike(f, s) for s in starts):
             self.headers.append((at, at + len(line)))
             if rest != line and re.search(r"\d", line):
                 self.numbers.append((at, at + len(line)))
@@ -218,41 +237,88 @@ def _rows(n: Counter, noisy: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([noisy[w] for w in n], pa.int64())], names=["word", "n", "noisy"])
 
 
-def _deletes(of_lexicon: bool):
-    """The symmetric-delete keys of words: (key, place, segment) with one segment taken out."""
-    segments = sorted(set(CONFUSED.values() if of_lexicon else CONFUSED))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for w, n, noisy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for s in segments:
-                    i = w.find(s)
-                    while i >= 0:
-                        out.append((w[:i] + w[i + len(s) :], i, s, w, n, noisy))
-                        i = w.find(s, i + 1)
-            cols = list(zip(*out)) or [[]] * 6
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "place", "segment", "word", "n", "noisy"])
+def shapes(word: str) -> tuple[str, ...]:
+    """A word with all that scanners confuse made equal: the single letters, and before them the segments of two.
 
-    return run
+    Words that differ in nothing else agree in one of the two.
+    """
+    single = word.translate(_ONE)
+    for two, one in _TWO:
+        word = word.replace(two, one)
+    word = word.translate(_ONE)
+    return (single,) if word == single else (single, word)
+
+
+def distance(a: str, b: str) -> float:
+    """Weighted edit distance: confusable segments cost COST, in either direction, any other edit costs OTHER."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    i = max(0, i - 1)  # a segment of two letters may begin with an equal one
+    a, b = a[i:], b[i:]
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    k = max(0, k - 1)
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x in range(len(a) + 1):
+        for y in range(len(b) + 1):
+            if not x and not y:
+                continue
+            d = [best[x - 1][y] + OTHER] if x else []
+            if y:
+                d.append(best[x][y - 1] + OTHER)
+            if x and y:
+                d.append(best[x - 1][y - 1] + (0 if a[x - 1] == b[y - 1] else OTHER))
+            for p, q, c in _PAIRS:
+                if a.endswith(p, 0, x) and b.endswith(q, 0, y):
+                    d.append(best[x - len(p)][y - len(q)] + c)
+            best[x][y] = min(d)
+    return best[-1][-1]
+
+
+def _deletes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The symmetric-delete keys of words: each shape, and if it is long enough the shape without each of its letters."""
+    for b in batches:
+        keys, of, whole = [], [], []
+        for i, w in enumerate(b.column("word").to_pylist()):
+            for f in shapes(w):
+                own = {f, *(f[:j] + f[j + 1 :] for j in range(len(f)))} if len(f) >= LONG else {f}
+                keys += own
+                of += [i] * len(own)
+                whole += [f] * len(own)
+        take = pa.array(of, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(_hash(keys).view(np.int64)), pa.array(whole, pa.string()), *[c.take(take) for c in b.columns]], names=["key", "shape", *b.schema.names])
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cost = [distance(x, y) for x, y in zip(b.column("word").to_pylist(), b.column("right").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("right"), pa.array(cost, pa.float64()), b.column("n")], names=["word", "right", "cost", "n"])
 
 
 def corrections(texts: DataFrame) -> DataFrame:
-    """(word, right, cost, n): lexicon words that a rare word may be a misreading of. texts: (text)."""
+    """(word, right, cost, n): lexicon words that a rare word may be a misreading of. texts: (text).
+
+    Words whose shapes are equal differ by confusable segments only, any number of them, read either way. Shapes one edit
+    apart meet at a common delete; that is taken for a misreading only in a long word that stands on noisy pages alone.
+    """
     schema = "word string, n long, noisy long"
     words = texts.mapInArrow(_count, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("noisy").alias("noisy"))
-    words = materialize(words.where(F.length("word") >= 4), "p4words")
-    keyed = "key string, place int, segment string, word string, n long, noisy long"
-    lex = words.where((F.col("n") >= KNOWN) & ~F.col("word").endswith("!")).mapInArrow(_deletes(True), keyed)
-    sus = words.mapInArrow(_deletes(False), keyed)
-    pair = F.create_map(*[F.lit(x) for kv in CONFUSED.items() for x in kv])
-    cost = F.create_map(*[F.lit(x) for kv in COST.items() for x in kv])
-    lex = lex.select("key", "place", F.col("segment").alias("printed"), F.col("word").alias("right"), F.col("n").alias("often"))
-    met = sus.join(lex, ["key", "place"]).where((pair[F.col("segment")] == F.col("printed")))
-    times = F.when(F.col("noisy") >= 0.8 * F.col("n"), TIMES_ON_NOISY_PAGES).otherwise(TIMES)
-    met = met.where(F.col("often") >= times * F.col("n"))
-    return met.groupBy("word", "right").agg(F.min(cost[F.col("segment")]).alias("cost"), F.max("often").alias("n"))
+    words = materialize(words.where(F.length("word") >= SHORTEST), "p4words")
+    keyed = materialize(words.mapInArrow(_deletes, f"key long, shape string, {schema}"), "p4keys")
+    lex = keyed.where((F.col("n") >= KNOWN) & ~F.col("word").endswith("!")).select("key", F.col("shape").alias("printed"), F.col("word").alias("right"), F.col("n").alias("often"))
+    met = keyed.join(lex, "key").where("word <> right")
+    on_noisy = F.col("noisy") >= 0.8 * F.col("n")
+    same = F.col("shape") == F.col("printed")
+    # in a short word one letter is a large part, and shapes meet by chance
+    times = F.when(on_noisy & (F.length("shape") >= 4), TIMES_ON_NOISY_PAGES).otherwise(TIMES)
+    edit = on_noisy & (F.col("n") <= 2) & (F.length("shape") >= LONG) & (F.col("often") >= TIMES_ANY_EDIT * F.col("n")) & (F.levenshtein("shape", "printed") <= 1)
+    edit = edit & ~F.contains("right", "word") & ~F.contains("word", "right")  # a word cut off at an end of the text
+    met = met.where((same & (F.col("often") >= times * F.col("n"))) | (~same & edit))
+    met = met.groupBy("word", "right").agg(F.max("often").alias("n")).mapInArrow(_measured, "word string, right string, cost double, n long")
+    return met.where(F.col("cost") <= MOST_COST)
 
 
 def _sketch(df: DataFrame, bits: int) -> np.ndarray:
