@@ -62,12 +62,12 @@ def modern_spelling(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("6"), F.lit("bh")), F.lit("5"), F.lit("hl"))
 
 
-def section(text: Column, rules: list[tuple]) -> Column:
-    """(title, section, type) of the first rule that matches the lower-case text, else nulls."""
+def section(text: Column, rules: list[tuple], none: tuple[str, str, str], untitled: str | None = None) -> Column:
+    """(title, section, type) of the first rule that matches the lower-case text, else `none`; a null text has none."""
     out = None
-    low = F.lower(text)
-    for pattern, title, name, kind in rules:
-        hit = F.struct(F.lit(title).cast("string").alias("title"), F.lit(name).alias("section"), F.lit(kind).alias("type"))
+    low = F.coalesce(F.lower(text), F.lit(""))
+    for pattern, title, name, kind in [*rules, ("", *none)]:
+        hit = F.struct(F.lit(title or untitled).cast("string").alias("title"), F.lit(name).alias("section"), F.lit(kind).alias("type"))
         out = F.when(low.rlike(pattern), hit) if out is None else out.when(low.rlike(pattern), hit)
     return out
 

@@ -24,7 +24,7 @@ def offset_tokens(records: DataFrame, key: str = "record_id", text: str = "text"
     cls = r"[\p{L}\p{Nl}\p{No}]"
     parts = found(F.col(text), rf"(?s){WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+")
     z = records.select(key, F.posexplode(parts).alias("n", "surface"))
-    end = F.sum(F.length("surface")).over(Window.partitionBy(key).orderBy("n"))  # the parts of one text
+    end = F.sum(F.length("surface")).over(Window.partitionBy(key).orderBy("n"))  # the parts of one text, linear in its length
     z = z.withColumn("end", end).withColumn("start", F.col("end") - F.length("surface"))
     return z.select(key, "n", "surface", "start", "end", F.col("surface").rlike(f"^{cls}").alias("is_word"))
 
@@ -111,13 +111,16 @@ def all_observations(tokens: DataFrame) -> DataFrame:
 
 
 def analysis(word: Column) -> Column:
-    """(type, prefix, stem, entry): the longest noun prefix, else a hyphenated subject concord, else nulls (unknown)."""
+    """(type, prefix, stem, entry): the longest noun prefix, else a hyphenated subject concord, else the first listed verb
+    form that the word starts with (stem: its segments), else nulls (unknown)."""
     low = F.lower(word)
     noun = _first(low, sorted(lx.NOUN_CLASS, key=lambda p: -len(p)), lambda p: low.startswith(p) & (F.length(low) > len(p) + 1))
     verb = _first(low, ["u-", "ba-"], lambda p: low.startswith(p) & (F.length(low) > len(p) + 1))
     entry = F.when(noun.isNotNull(), _label(noun, lx.NOUN_CLASS)).otherwise(_label(verb, {"u-": "AGR_SUBJ_NC1", "ba-": "AGR_SUBJ_NC2"}))
     prefix = F.coalesce(noun, verb)
+    form = _first(low, lx.VERB_PATTERNS, lambda p: low.startswith(p.replace("-", "")))
     return F.struct(
-        F.when(noun.isNotNull(), "noun").when(verb.isNotNull(), "verb").otherwise("unknown").alias("type"),
-        prefix.alias("prefix"), F.substr(low, F.length(prefix) + 1).alias("stem"), entry.alias("entry"),
+        F.when(noun.isNotNull(), "noun").when(verb.isNotNull(), "verb").when(form.isNotNull(), "verb_pattern").otherwise("unknown").alias("type"),
+        F.coalesce(prefix, F.replace(form, F.lit("-"), F.lit(""))).alias("prefix"),
+        F.coalesce(F.substr(low, F.length(prefix) + 1), form).alias("stem"), entry.alias("entry"),
     )

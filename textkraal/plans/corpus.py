@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textkraal.functions.language import found, strip
 from textkraal.functions.normalize import pieces
-from textkraal.operators.records import first_of_each, hashed_split, upper_median
+from textkraal.operators.records import first_of_each, hashed_split, upper_median, with_positions
 from textkraal.plans.scalars import PIECES, STRIP
 from textkraal.session import load, shared_dir
 from textkraal.sources import readers
@@ -44,10 +44,14 @@ def json_round_trip(s, d):
 
 
 def corpus_hash(s, d):
-    """SHA-256 of the set of two-digit prefixes of the hashes of a source, as its SQL has it; large sources have all
-    256 prefixes and so one digest. corpus_digest() tells every text and copy."""
-    h = rec(s, d).where("text is not null").groupBy("source").agg(F.sort_array(F.collect_set(F.substring(F.sha2("text", 256), 1, 2))).alias("h"))
-    return h.select("source", F.sha2(F.array_join("h", ""), 256).alias("digest"))  # at most 256 prefixes a source
+    """Per source a SHA-256 of the sorted hashes of all its texts, copies included.
+
+    In two levels, so that no task holds the hashes of a source: the sorted hashes that start with the same three digits
+    are hashed, then the sorted digests of those up to 4096 groups.
+    """
+    h = rec(s, d).where("text is not null").select("source", F.sha2("text", 256).alias("h"))
+    g = h.groupBy("source", F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("g"))
+    return g.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", F.lit(":"), "g"))), ""), 256).alias("digest"))
 
 
 def corpus_digest(s, d):
@@ -174,6 +178,15 @@ def first_wins(s, d):
     return r.groupBy("k").agg(F.min("record_id").alias("record_id"), F.count("*").alias("n")).select("record_id", "n")
 
 
+def first_across_files(s, d):
+    """The first record of each text, in order of file and id: records, then raw lines. Case and white space at the ends are
+    of no account; texts are compared by their hash."""
+    a = rec(s, d).select(F.lit(1).alias("file"), "record_id", "text")
+    b = raw_records(s, d).select(F.lit(2).alias("file"), "record_id", "text")
+    r = a.union(b).where("text is not null").select("file", "record_id", F.md5(F.lower(strip(F.col("text")))).alias("k"))
+    return first_of_each(r, "k", ["file", "record_id"]).select("file", "record_id", F.col("k").alias("text_key"))
+
+
 def across_sources(s, d):
     """Records and raw lines, the first of each text over ten characters; records come before raw lines."""
     a = rec(s, d).select(F.lit(1).alias("file"), "record_id", "text")
@@ -196,6 +209,11 @@ def documents_split(s, d):
     return hashed_split(load(s, d, "documents").select("doc_id"), "doc_id", SHARES)
 
 
+def split_at_cuts(s, d):
+    """Documents split at the int-truncated sums of the shares, where documents_split() sums the truncated shares."""
+    return hashed_split(load(s, d, "documents").select("doc_id"), "doc_id", SHARES, at_sums=True)
+
+
 def split_by_source(s, d):
     return hashed_split(load(s, d, "documents").select("doc_id", "source"), "doc_id", SHARES, by="source")
 
@@ -209,14 +227,8 @@ def weighted(s, d):
 
 
 def sampled(s, d):
-    """Every tenth document in order of id; a position comes from bucket sizes and the rank within a bucket."""
-    from pyspark.sql import Window
-
-    x = load(s, d, "documents").select("doc_id").withColumn("b", F.floor(F.col("doc_id") / 10_000))
-    size = x.groupBy("b").agg(F.count("*").alias("n"))
-    size = size.withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n")).drop("n")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("doc_id")) - 1
-    return x.join(size, "b").withColumn("at", rank).where("at % 10 = 0").select("doc_id")
+    """Every tenth document in order of id."""
+    return with_positions(load(s, d, "documents").select("doc_id"), ["doc_id"]).where("at % 10 = 0").select("doc_id")
 
 
 def trend(s, d):
@@ -277,6 +289,35 @@ def admitted(s, d):
     return a.unionByName(b).select("record_id", "text").select("record_id", F.size(pieces(F.col("text"))).alias("words"))
 
 
+def training_corpus(s, d):
+    """The lines of the training corpus with their provenance: a line for each line of an admitted text that isn't blank."""
+    r = rec(s, d).where("validation_status = 'authoritative' or (validation_status = 'validated' and coalesce(language_class, '') <> 'FOREIGN_LANGUAGE' and coalesce(source, '') <> 'generated')")
+    x = r.select("record_id", "source", "source_title", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line_no", "line"))
+    return x.where(strip(F.col("line")) != "").distinct()
+
+
+def integrity_rules(s, d):
+    """Violations of each assertion on evidence and results: they must refer to analysed records and hold what they claim.
+
+    One pass over each table; the records are joined once to either.
+    """
+    r = rec(s, d).select("record_id", "text", "language_class").groupBy("record_id").agg(F.min("text").alias("text"), F.min("language_class").alias("language_class"))
+    e = load(s, d, "evidence_items").select("record_id", "surface_form", "context", "character_span").join(r, "record_id", "left")
+    span = F.substring(F.col("text"), F.col("character_span.start") + 1, F.col("character_span.end") - F.col("character_span.start"))
+    known = F.col("language_class") == "TARGET_LANGUAGE"
+    v = load(s, d, "validation_results").select("record_id", "original_text", "validation_status", "corrected_text").join(r, "record_id", "left")
+    tests = [
+        (e, {"evidence is of an analysed record": known, "evidence has a form": F.coalesce(F.col("surface_form"), F.lit("")) != "", "form stands at its span": F.col("character_span").isNull() | (span == F.col("surface_form")), "context holds the form": F.contains("context", "surface_form")}),
+        (v, {"result is of a record": F.col("text").isNotNull(), "original text preserved": F.col("original_text") == F.col("text"), "only rejected results lack a text": (F.col("validation_status") == "rejected") | F.col("corrected_text").isNotNull()}),
+    ]
+    out = None
+    for df, rules in tests:
+        g = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
+        g = g.select(F.explode(F.create_map(*[x for name in rules for x in (F.lit(name), F.col(f"`{name}`"))])).alias("rule", "violations"))
+        out = g if out is None else out.union(g)
+    return out
+
+
 PROVENANCE = ["record_id", "source", "source_type", "source_title", "source_section", "language", "provenance_type", "confidence", "validation_status", "orthography", "language_class", "generator", "token_count"]
 
 def _lines(s, d):
@@ -289,14 +330,14 @@ QUERIES = {
     "s2_all_lines": lambda s, d: _lines(s, d).groupBy("line").agg(F.count("*").alias("n")),
     "s3_json_records": raw_records, "s4_required_records": required, "s7_trimmed_lines": lambda s, d: rec(s, d).select("record_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("lines")),
     "k1_json_round_trip": json_round_trip, "k3_text_lines": text_round_trip, "k4_provenance": lambda s, d: rec(s, d).select(*PROVENANCE), "k5_routes": routed, "k8_corpus_hash": corpus_hash, "k8_corpus_digest": corpus_digest,
-    "f6_admission": admitted, "v3_training_corpus": admitted, "j1_status_lookup": status_lookup, "g1_counts": by_column(*COUNTED), "g2_work_rollup": work_rollup, "g3_totals": totals,
+    "f6_admission": admitted, "v3_training_corpus": training_corpus, "j1_status_lookup": status_lookup, "g1_counts": by_column(*COUNTED), "g2_work_rollup": work_rollup, "g3_totals": totals,
     "g8_length_stats": length_stats, "g8_length_buckets": length_buckets, "g9_duplicates": duplicates, "g24_spelling_conflicts": spelling_conflicts, "g26_coverage": coverage, "g29_tiers": tiers,
     "g30_integrity": integrity, "g31_expansion": expansion, "g32_purity": purity, "w4_sorted_head": lambda s, d: rec(s, d).orderBy(F.asc_nulls_last("source"), F.asc_nulls_last("source_type"), "text", "record_id").select("record_id").limit(100),
     "w5_frequent_sources": lambda s, d: rec(s, d).where("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(20),
-    "w7_trend": trend, "w8_every_tenth": sampled, "d1_first_wins": across_sources, "d2_first_by_text": first_wins, "d3_across_sources": across_sources,
+    "w7_trend": trend, "w8_every_tenth": sampled, "d1_first_wins": first_across_files, "d2_first_by_text": first_wins, "d3_across_sources": across_sources,
     "d4_union": lambda s, d: rec(s, d).select("record_id", "text").unionByName(raw_records(s, d).select("record_id", "text")).agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("ids")),
-    "d5_set_operations": set_ops, "d6_split": documents_split, "d7_split_by_source": split_by_source, "d8_split_at_cuts": documents_split, "d10_weights": weighted, "r2_status_pivot": status_pivot,
-    "q3_evidence_sources": evidence_sources, "q4_graph_nodes": node_counts, "q5_registry": registry, "q10_quality_rules": quality_rules, "v4_integrity_rules": quality_rules,
+    "d5_set_operations": set_ops, "d6_split": documents_split, "d7_split_by_source": split_by_source, "d8_split_at_cuts": split_at_cuts, "d10_weights": weighted, "r2_status_pivot": status_pivot,
+    "q3_evidence_sources": evidence_sources, "q4_graph_nodes": node_counts, "q5_registry": registry, "q10_quality_rules": quality_rules, "v4_integrity_rules": integrity_rules,
 }
 
 _K = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
@@ -335,8 +376,13 @@ SQL = {
     "k3_text_lines": rf"SELECT line, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM corpus_records WHERE language_class = 'TARGET_LANGUAGE' AND text IS NOT NULL) GROUP BY line",
     "k4_provenance": f"SELECT {', '.join(PROVENANCE)} FROM corpus_records",
     "k5_routes": "SELECT CASE WHEN len(corrections) > 0 THEN 'corrections' ELSE coalesce(validation_status, 'unknown') END AS route, count(*) AS rows FROM validation_results GROUP BY 1",
-    "k8_corpus_hash": "SELECT source, sha256(array_to_string(list_sort(list(DISTINCT substring(sha256(text), 1, 2))), '')) AS digest FROM corpus_records WHERE text IS NOT NULL GROUP BY source",
-    "f6_admission": _ADMIT, "v3_training_corpus": _ADMIT,
+    "k8_corpus_hash": """WITH h AS (SELECT source, sha256(text) AS h FROM corpus_records WHERE text IS NOT NULL),
+      g AS (SELECT source, h[1:3] AS b, sha256(array_to_string(list_sort(list(h)), '')) AS g FROM h GROUP BY 1, 2)
+      SELECT source, sha256(array_to_string(list_sort(list(b || ':' || g)), '')) AS digest FROM g GROUP BY source""",
+    "f6_admission": _ADMIT,
+    "v3_training_corpus": f"""SELECT DISTINCT record_id, source, source_title, line_no, line FROM (SELECT record_id, source, source_title, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no
+      FROM (SELECT *, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM corpus_records WHERE validation_status = 'authoritative' OR (validation_status = 'validated' AND coalesce(language_class, '') <> 'FOREIGN_LANGUAGE' AND coalesce(source, '') <> 'generated')))
+      WHERE {STRIP.replace('text', 'line')} <> ''""",
     "j1_status_lookup": f"SELECT DISTINCT v.record_id, v.validation_status, r.source, r.source_title FROM validation_results v JOIN ({_FIRST}) r ON r.record_id = v.record_id AND r.rn = 1",
     "g1_counts": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM corpus_records GROUP BY {c}" for c in COUNTED),
     "g2_work_rollup": f"SELECT source_title AS work, count(*) AS records, sum(length(text))::BIGINT AS chars, sum(len({PIECES}))::BIGINT AS words, count(*) FILTER (orthography = 'modern') AS modern, count(*) FILTER (orthography = 'traditional') AS traditional, count(*) FILTER (orthography = 'mixed') AS mixed FROM corpus_records GROUP BY 1",
@@ -354,15 +400,25 @@ SQL = {
     "w5_frequent_sources": "SELECT source, count(*) AS n FROM corpus_records WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 20",
     "w7_trend": "SELECT event_type, round(arg_min(value, (ts, event_id)), 6) AS first, round(arg_max(value, (ts, event_id)), 6) AS last, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS change FROM events GROUP BY 1",
     "w8_every_tenth": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 10 = 0",
-    "d1_first_wins": _ACROSS, "d3_across_sources": _ACROSS,
+    "d3_across_sources": _ACROSS,
+    "d1_first_wins": f"SELECT file, record_id, k AS text_key FROM (SELECT file, record_id, md5(lower({STRIP})) AS k, row_number() OVER (PARTITION BY lower({STRIP}) ORDER BY file, record_id) AS rn FROM ({_UNION}) WHERE text IS NOT NULL) WHERE rn = 1",
     "d2_first_by_text": f"SELECT min(record_id) AS record_id, count(*) AS n FROM corpus_records WHERE length({_K}) > 20 GROUP BY {_K}",
     "d4_union": f"SELECT count(*) AS rows, count(DISTINCT record_id) AS ids FROM ({_UNION})",
     "d5_set_operations": "WITH w AS (SELECT DISTINCT split, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM corpus_records WHERE split IN ('train', 'test')), g AS (SELECT w, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'test') AS b FROM w GROUP BY w) SELECT count(*) FILTER (a = 1 AND b = 1) AS both, count(*) FILTER (b = 0) AS train_only, count(*) FILTER (a = 0) AS test_only, count(*) AS either FROM g",
-    "d6_split": _split_sql(), "d7_split_by_source": _split_sql("source"), "d8_split_at_cuts": _split_sql(),
+    "d6_split": _split_sql(), "d7_split_by_source": _split_sql("source"), "d8_split_at_cuts": _split_sql().replace("floor(n * 0.8 + 1e-9) + floor(n * 0.1 + 1e-9)", "floor(n * (0.8 + 0.1) + 1e-9)"),
     "d10_weights": "SELECT record_id, CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 1.0 END::DOUBLE AS weight FROM corpus_records",
     "r2_status_pivot": "SELECT source_type, " + ", ".join(f"count(*) FILTER (validation_status = '{k}') AS {k}" for k in ("authoritative", "rejected", "uncertain", "validated")) + " FROM corpus_records GROUP BY 1",
     "q3_evidence_sources": "SELECT surface_form, count(DISTINCT record_id) AS records, min(record_id) AS first, max(record_id) AS last FROM evidence_items GROUP BY 1",
     "q4_graph_nodes": "SELECT 'records' AS node, count(DISTINCT record_id) AS n FROM corpus_records UNION ALL SELECT 'works', count(DISTINCT source_title) FROM corpus_records UNION ALL SELECT 'evidence', count(DISTINCT surface_form) FROM evidence_items UNION ALL SELECT 'sources', count(DISTINCT source) FROM corpus_records",
     "q5_registry": "SELECT DISTINCT record_id, source, sha256(text) AS source_hash FROM corpus_records",
-    "q10_quality_rules": _RULES, "v4_integrity_rules": _RULES,
+    "q10_quality_rules": _RULES, 
+    "v4_integrity_rules": """WITH r AS (SELECT record_id, min(text) AS text, min(language_class) AS language_class FROM corpus_records GROUP BY 1),
+      e AS (SELECT e.*, r.text, r.language_class FROM evidence_items e LEFT JOIN r USING (record_id)), v AS (SELECT v.*, r.text FROM validation_results v LEFT JOIN r USING (record_id))
+      SELECT 'evidence is of an analysed record' AS rule, count(*) FILTER (NOT coalesce(language_class = 'TARGET_LANGUAGE', false)) AS violations FROM e
+      UNION ALL SELECT 'evidence has a form', count(*) FILTER (coalesce(surface_form, '') = '') FROM e
+      UNION ALL SELECT 'form stands at its span', count(*) FILTER (NOT coalesce(character_span IS NULL OR substring(text, character_span."start" + 1, character_span."end" - character_span."start") = surface_form, false)) FROM e
+      UNION ALL SELECT 'context holds the form', count(*) FILTER (NOT coalesce(contains(context, surface_form), false)) FROM e
+      UNION ALL SELECT 'result is of a record', count(*) FILTER (text IS NULL) FROM v
+      UNION ALL SELECT 'original text preserved', count(*) FILTER (NOT coalesce(original_text = text, false)) FROM v
+      UNION ALL SELECT 'only rejected results lack a text', count(*) FILTER (NOT coalesce(validation_status = 'rejected' OR corrected_text IS NOT NULL, false)) FROM v""",
 }

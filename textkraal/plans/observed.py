@@ -9,6 +9,7 @@ from textkraal import lexicons as lx
 from textkraal.functions.language import confidence_band, first_prefix, found
 from textkraal.functions.normalize import pieces
 from textkraal.operators import tokens as tk
+from textkraal.operators.records import with_positions
 from textkraal.plans.scalars import PIECES, WORDS
 from textkraal.session import load
 
@@ -51,13 +52,10 @@ def lexicon(spark, sf_dir):
     return g.select(F.col("low").alias("form"), "frequency", "forms", confidence_band(F.col("frequency")).alias("confidence"))
 
 
-def lexicon_ids(spark, sf_dir, buckets=256):
-    """Sequential ids of the sorted lexicon, without sorting it in one task: first letters make the ranges."""
-    g = target_tokens(spark, sf_dir).select(F.col("low").alias("form")).distinct().withColumn("b", F.substring("form", 1, 2))
-    size = g.groupBy("b").agg(F.count("*").alias("n"))
-    before = size.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))  # one row per pair of letters
-    g = g.join(before, "b").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("form")))
-    return g.select("form", F.concat(F.lit("LEX_OBS_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"))
+def lexicon_ids(spark, sf_dir):
+    """Sequential ids of the sorted lexicon, without sorting it in one task."""
+    g = with_positions(target_tokens(spark, sf_dir).select(F.col("low").alias("form")).distinct(), ["form"])
+    return g.select("form", F.concat(F.lit("LEX_OBS_"), F.lpad((F.col("at") + 1).cast("string"), 6, "0")).alias("id"))
 
 
 def prefix_inventory(spark, sf_dir):
@@ -113,8 +111,7 @@ def char_frequency(spark, sf_dir):
 
 def digraphs(spark, sf_dir):
     """Words that hold each letter pair, once per word."""
-    pairs = ["bh", "ch", "dl", "gc", "gq", "gx", "hl", "kh", "kr", "mb", "mf", "nc", "nd", "ng", "nj", "nk", "nq", "nt", "nx", "ny", "ph", "qh", "rh", "sh", "th", "ts"]
-    t = target_tokens(spark, sf_dir).select(F.explode(F.filter(F.array(*map(F.lit, pairs)), lambda p: F.col("low").contains(p))).alias("pair"))
+    t = target_tokens(spark, sf_dir).select(F.explode(F.filter(F.array(*map(F.lit, lx.LETTER_PAIRS)), lambda p: F.col("low").contains(p))).alias("pair"))
     return t.groupBy("pair").agg(F.count("*").alias("words"))
 
 
@@ -126,7 +123,7 @@ def analyzed(spark, sf_dir):
 def analyzed_texts(spark, sf_dir):
     """Per record how many of its words each kind of analysis covers."""
     t = target_tokens(spark, sf_dir).select("record_id", tk.analysis(F.col("low"))["type"].alias("type"))
-    return t.groupBy("record_id").agg(*[F.count_if(F.col("type") == k).alias(k) for k in ("noun", "verb", "unknown")])
+    return t.groupBy("record_id").agg(*[F.count_if(F.col("type") == k).alias(k) for k in ("noun", "verb", "verb_pattern", "unknown")])
 
 
 def offsets(spark, sf_dir):
@@ -218,14 +215,16 @@ _INV = f"""{TOK} SELECT p AS prefix, count(*) AS token_frequency, count(DISTINCT
   count(*) FILTER (orthography IN ('traditional', 'mixed')) AS historical, CASE WHEN historical > 0 AND modern > 0 THEN 'variant' WHEN historical > 0 THEN 'historical' ELSE 'modern' END AS historical_status,
   {_BAND.format(n='count(*)')} FROM k WHERE p IS NOT NULL GROUP BY p"""
 _LONGEST = sorted(lx.NOUN_CLASS, key=lambda p: -len(p))
-_ANALYSIS = f"""(SELECT *, coalesce(n, v) AS prefix, CASE WHEN n IS NOT NULL THEN 'noun' WHEN v IS NOT NULL THEN 'verb' ELSE 'unknown' END AS type,
+_FORM = "CASE " + " ".join(f"WHEN low LIKE '{p.replace('-', '')}%' THEN '{p}'" for p in lx.VERB_PATTERNS) + " END"
+_ANALYSIS = f"""(SELECT *, coalesce(n, v, replace(f, '-', '')) AS prefix, coalesce(substr(low, length(coalesce(n, v)) + 1), f) AS astem,
+  CASE WHEN n IS NOT NULL THEN 'noun' WHEN v IS NOT NULL THEN 'verb' WHEN f IS NOT NULL THEN 'verb_pattern' ELSE 'unknown' END AS type,
   coalesce({_lab('n', lx.NOUN_CLASS)}, CASE v WHEN 'u-' THEN 'AGR_SUBJ_NC1' WHEN 'ba-' THEN 'AGR_SUBJ_NC2' END) AS entry FROM
-  (SELECT *, {_starts('low', _LONGEST)} AS n, {_starts('low', ['u-', 'ba-'])} AS v FROM k))"""
-_DIGRAPHS = "['bh','ch','dl','gc','gq','gx','hl','kh','kr','mb','mf','nc','nd','ng','nj','nk','nq','nt','nx','ny','ph','qh','rh','sh','th','ts']"
+  (SELECT *, {_starts('low', _LONGEST)} AS n, {_starts('low', ['u-', 'ba-'])} AS v, {_FORM} AS f FROM k))"""
+_DIGRAPHS = str(lx.LETTER_PAIRS)
 
 SQL = {
-    "a1_word_analysis": f"{TOK} SELECT DISTINCT low, type, prefix, substr(low, length(prefix) + 1) AS stem, entry FROM {_ANALYSIS}",
-    "a3_text_analysis": f"{TOK} SELECT record_id, count(*) FILTER (type = 'noun') AS noun, count(*) FILTER (type = 'verb') AS verb, count(*) FILTER (type = 'unknown') AS unknown FROM {_ANALYSIS} GROUP BY record_id",
+    "a1_word_analysis": f"{TOK} SELECT DISTINCT low, type, prefix, astem AS stem, entry FROM {_ANALYSIS}",
+    "a3_text_analysis": f"{TOK} SELECT record_id, count(*) FILTER (type = 'noun') AS noun, count(*) FILTER (type = 'verb') AS verb, count(*) FILTER (type = 'verb_pattern') AS verb_pattern, count(*) FILTER (type = 'unknown') AS unknown FROM {_ANALYSIS} GROUP BY record_id",
     "t17_offset_tokens": rf"""WITH w AS (SELECT record_id, regexp_extract_all(text, '(?s)[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[-''][\p{{L}}\p{{Nl}}\p{{No}}]+)*|[^\p{{L}}\p{{Nl}}\p{{No}}]+') AS w FROM {TARGET}),
       i AS (SELECT record_id, unnest(w) AS surface, generate_subscripts(w, 1) - 1 AS n FROM w)
       SELECT record_id, n, surface, (sum(length(surface)) OVER (PARTITION BY record_id ORDER BY n))::BIGINT AS "end", "end" - length(surface) AS start, regexp_matches(surface, '^[\p{{L}}\p{{Nl}}\p{{No}}]') AS is_word FROM i""",
