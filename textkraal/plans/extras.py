@@ -10,10 +10,10 @@ from textkraal import lexicons as lx
 from textkraal.functions.language import confidence_band, first_prefix, found
 from textkraal.operators import tokenizer as tz
 from textkraal.operators import tokens as tk
-from textkraal.plans.checked import encoded, eval_texts, merges, rec
-from textkraal.plans.observed import TARGET, TOK, target, target_tokens
+from textkraal.plans.checked import encoded, merges, rec, texts, vocabulary
+from textkraal.plans.observed import _ANALYSIS, _KEYS, TARGET, TOK, _seen, target, target_tokens
 from textkraal.plans.scalars import V1, V1_FROM
-from textkraal.session import load, shared_dir
+from textkraal.session import load, materialize, shared_dir
 from textkraal.sources import readers
 from textkraal.streaming.ingest import daily_counts
 
@@ -23,21 +23,21 @@ def place(s, name):
 
 
 def whole_files(s, d):
-    """The test items of a suite as one text file each, read whole: lines and characters."""
+    """The test items of a suite as one text file, read whole: its characters, a line break after each text."""
     path = place(s, "whole")
-    t = eval_texts(s, d).join(load(s, d, "eval_items").select("item_id", "suite"), "item_id")
-    t.select("suite", "text").repartition("suite").write.partitionBy("suite").text(path)
-    w = readers.whole_texts(s, path)
-    g = w.select(F.regexp_extract("path", "suite=([^/]*)", 1).alias("suite"), F.length("text").alias("chars"))
-    return g.groupBy("suite").agg(F.sum("chars").alias("chars"))
+    t = load(s, d, "eval_items").where("suite is not null").select(F.md5("suite").alias("file"), F.coalesce("text", F.lit("")).alias("value"))
+    t.repartition("file").write.partitionBy("file").text(path)
+    w = readers.whole_texts(s, path).select(F.regexp_extract("path", "file=([^/]*)", 1).alias("file"), F.length("text").alias("chars"))
+    names = load(s, d, "eval_items").where("suite is not null").select("suite", F.md5("suite").alias("file")).distinct()
+    return w.join(names, "file").groupBy("suite").agg(F.sum("chars").alias("chars"))
 
 
 def json_files(s, d):
-    """Curated entries as JSON documents of several lines, read back; one broken file is skipped."""
+    """Curated entries as JSON documents of several lines, a file each, read back; a list is flattened, a broken file skipped."""
     path = place(s, "json")
-    rows = [(f'{{\n "id": "{k}",\n "prefix": "{p}"\n}}',) for p, k in lx.NOUN_CLASS.items()] + [('{"id": "broken',)]
-    for r in rows[:3] + rows[-1:]:  # four small files
-        s.createDataFrame([r], "value string").coalesce(1).write.mode("append").text(path)
+    entries = [(k, f'{{\n "id": "{k}",\n "prefix": "{p}"\n}}') for p, k in lx.NOUN_CLASS.items()]
+    files = [*[(str(i), t) for i, (_, t) in enumerate(entries)], ("list", "[" + ",\n".join(f'{{"id": "{v}", "prefix": "{c}"}}' for c, v in lx.SUBJECT_CONCORDS.items()) + "]"), ("broken", '{"id": "broken')]
+    s.createDataFrame(files, "file string, value string").repartition("file").write.partitionBy("file").text(path)
     return readers.json_documents(s, path, "id string, prefix string").select("id", "prefix").where("id is not null")
 
 
@@ -84,14 +84,30 @@ def saved_vocabulary(s, d):
 
 
 def padded(s, d):
+    """Ids of each text between <bos> and <eos>, 64 places, with the place of <eos> and the places attended to."""
+    e = encoded(s, d)
     t, m = tz.padded(F.col("tokens"), 64)
-    return encoded(s, d).select("item_id", F.size(t).alias("length"), F.array_position(t, "<eos>").alias("end"), F.aggregate(m, F.lit(0), lambda a, b: a + b).alias("attended"))
+    x = e.select("record_id", t.alias("tokens"), F.array_position(t, "<eos>").alias("end"), F.aggregate(m, F.lit(0), lambda a, b: a + b).alias("attended"))
+    return tz.with_ids(x, vocabulary(s, d)).select("record_id", F.array_join("ids", " ").alias("ids"), "end", "attended")
 
 
 def compression(s, d):
-    """Tokens of the test items under the first hundred rules and under all, and the saving."""
-    a, b = (tz.encode(eval_texts(s, d), x, "item_id").agg(F.sum(F.size("tokens")).alias(n)) for x, n in ((merges(s, d).where("rank < 100"), "few"), (merges(s, d), "all")))
-    return a.crossJoin(b).select("few", "all", F.round(1 - F.col("all") / F.col("few"), 6).alias("saving"))
+    """Tokens and characters per token of the modern and of the older texts under each of two merge lists: the existing one,
+    and one trained on the modern texts. Each distinct word is encoded once per list."""
+    kind = F.when(F.col("orthography") == "modern", "modern").otherwise("older")
+    t = rec(s, d).where("text is not null").select("record_id", "text", kind.alias("corpus")).distinct()
+    w = t.select("corpus", F.explode(tz.pre_tokens(F.col("text"))).alias("word")).groupBy("corpus", "word").agg(F.count("*").alias("n"))
+    w = materialize(w, "pieces")
+    white = F.col("word").rlike(r"^\s+$")
+    own = tz.train(s, w.where((F.col("corpus") == "modern") & ~white).select("word", "n"))
+    out = None
+    for name, m in (("existing", merges(s, d)), ("trained", own)):
+        e = w.join(tz.encode_words(w.where(~white), m), "word", "left").withColumn("size", F.coalesce(F.size("tokens"), F.lit(1)))
+        e = e.withColumn("size", F.when(white, 1).otherwise(F.col("size")))
+        g = e.groupBy("corpus").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum(F.length("word") * F.col("n")).alias("chars"))
+        g = g.select(F.lit(name).alias("tokenizer"), "corpus", "tokens", "chars", F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
+        out = g if out is None else out.union(g)
+    return out
 
 
 def gate(s, d):
@@ -103,14 +119,19 @@ def gate(s, d):
 QUERIES = {
     "s5_json_documents": json_files, "s6_whole_files": whole_files, "s11_doubled": doubled, "k6_markdown": markdown, "q7_gate_report": gate, "q2_agreement_entries": agreement_entries,
     "t24_confidence_bands": lambda s, d: load(s, d, "evidence_items").groupBy("surface_form").agg(F.count("*").alias("n")).withColumn("confidence", confidence_band(F.col("n"))),
-    "t27_pattern_harvest": harvest, "a2_word_lists": lambda s, d: eval_texts(s, d).select("item_id", F.array_join(F.transform(found(F.col("text"), tk.WORD), lambda w: tk.analysis(w)["type"]), " ").alias("types")),
+    "t27_pattern_harvest": harvest, "a2_word_lists": lambda s, d: texts(s, d).select("record_id", F.array_join(F.transform(found(F.col("text"), tk.WORD), lambda w: tk.analysis(w)["type"]), " ").alias("types")),
     "a5_verb_patterns": lambda s, d: target_tokens(s, d).where(first_prefix(F.col("low"), list(lx.SUBJECT_CONCORDS)).isNotNull()).groupBy("low").agg(F.count("*").alias("n")).where("n >= 5").orderBy("low").limit(50),
     "w6_top_characters": lambda s, d: rec(s, d).select(F.explode(F.split(F.lower("text"), "")).alias("ch")).where("ch rlike '[a-z]'").groupBy("ch").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ch").limit(10),
     "b5_padded": padded, "b8_saved_vocabulary": saved_vocabulary, "b11_compression": compression,
     "st1_stream_daily_counts": lambda s, d: daily_counts(s, f"{d}/raw_lines.parquet*"),
 }
 
+_ALL = TOK.replace(TARGET, "(SELECT DISTINCT record_id, text, NULL AS orthography FROM corpus_records WHERE record_id IS NOT NULL AND text IS NOT NULL)")
 SQL = {
+    "s5_json_documents": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{p}')" for p, k in [*lx.NOUN_CLASS.items(), *lx.SUBJECT_CONCORDS.items()]) + ") t(id, prefix)",
+    "s6_whole_files": "SELECT suite, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars FROM eval_items WHERE suite IS NOT NULL GROUP BY suite",
+    "q7_gate_report": TOK + " SELECT family, count(DISTINCT pattern) AS patterns, count(*) AS tokens FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS family, pattern FROM {_seen(f)}" for f in _KEYS) + ") GROUP BY family",
+    "a2_word_lists": f"{_ALL} SELECT r.record_id, coalesce(types, '') AS types FROM (SELECT DISTINCT record_id, text FROM corpus_records WHERE record_id IS NOT NULL AND text IS NOT NULL) r LEFT JOIN (SELECT record_id, string_agg(type, ' ' ORDER BY pos) AS types FROM {_ANALYSIS} GROUP BY record_id) USING (record_id)",
     "s11_doubled": "SELECT suite, 2 * count(*) AS n FROM eval_items GROUP BY 1",
     "k6_markdown": "SELECT '| class | records |' AS line UNION ALL SELECT '| ' || coalesce(language_class, '(none)') || ' | ' || count(*) || ' |' FROM corpus_records GROUP BY language_class",
     "t24_confidence_bands": "SELECT surface_form, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'HIGH_CONFIDENCE' WHEN count(*) >= 5 THEN 'SUPPORTED' ELSE 'OBSERVED' END AS confidence FROM evidence_items GROUP BY 1",
