@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textkraal.operators.records import with_positions
 from textkraal.session import materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node in edges; label is the smallest node of its component.
 
-    Each round takes the smallest label among a node's neighbours, hooks it under the node's present root and
-    halves the paths, so a chain of n nodes needs about log n rounds. Neighbourhoods are never gathered: all
-    groupings are minima with map-side combination, so a node with a third of all edges is no hot task.
+    Nodes are numbered in their order first, so that the rounds run on numbers. Each round takes the smallest label among
+    a node's neighbours, hooks it under the node's present root and halves the paths, so a chain of n nodes needs about
+    log n rounds. Neighbourhoods are never gathered: all groupings are minima with map-side combination. In the joins the
+    side that repeats a hub or a root meets one row of the other, so Spark splits such a partition (adaptive skew join).
     Null ends are dropped; an edge from a node to itself makes it a node of its own; no edges give no rows.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = materialize(e.union(e.select("v", "u")).distinct(), "edges")
-    f = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("p"))
+    named = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct(), "edges")
+    number = materialize(with_positions(named.select(F.col("u").alias("name")).union(named.select("v")).distinct(), ["name"], "id"), "nodes")
+    e = named.join(number.select(F.col("name").alias("u"), F.col("id").alias("a")), "u").join(number.select(F.col("name").alias("v"), F.col("id").alias("b")), "v").select("a", "b")
+    label = _labels(e, max_rounds)
+    at = number.select(F.col("id").alias("label"), F.col("name").alias("first"))
+    return label.join(number.withColumnRenamed("id", "node"), "node").join(at, "label").select(F.col("name").alias("node"), F.col("first").alias("label"))
+
+
+def _labels(e: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, label) of numbered nodes."""
+    both = materialize(e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a")).distinct(), "edges")
+    f = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("p"))
     f = materialize(f.select(F.col("u").alias("node"), "p"), "labels")
     for _ in range(max_rounds):
         near = (

@@ -19,14 +19,17 @@ def word_tokens(records: DataFrame, key: str = "record_id", text: str = "text",
     return z.select(key, *keep, "pos", F.col("t.word").alias("word"), F.lower("t.word").alias("low"), F.lower("t.next").alias("next"))
 
 
+LETTER = r"^[\p{L}\p{Nl}\p{No}]"
+#: Words and the stretches between them, in turn.
+PARTS = rf"(?s){WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+"
+
+
 def offset_tokens(records: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
     """(key, n, surface, start, end, is_word): words and the stretches between them; joined they are the text again."""
-    cls = r"[\p{L}\p{Nl}\p{No}]"
-    parts = found(F.col(text), rf"(?s){WORD}|[^\p{{L}}\p{{Nl}}\p{{No}}]+")
-    z = records.select(key, F.posexplode(parts).alias("n", "surface"))
+    z = records.select(key, F.posexplode(found(F.col(text), PARTS)).alias("n", "surface"))
     end = F.sum(F.length("surface")).over(Window.partitionBy(key).orderBy("n"))  # the parts of one text, linear in its length
     z = z.withColumn("end", end).withColumn("start", F.col("end") - F.length("surface"))
-    return z.select(key, "n", "surface", "start", "end", F.col("surface").rlike(f"^{cls}").alias("is_word"))
+    return z.select(key, "n", "surface", "start", "end", F.col("surface").rlike(LETTER).alias("is_word"))
 
 
 def first_k(rows: DataFrame, key: str, order: list[str], k: int, salts: int = 16) -> DataFrame:

@@ -18,7 +18,10 @@ def rec(s, d):
     return load(s, d, "corpus_records")
 
 
-RAW_FIELDS = "record_id string, text string, source string, source_type string, source_title string, language string, orthography string, validation_status string, token_count int"
+RAW_FIELDS = (
+    "record_id string, text string, source string, source_type string, source_title string, source_section string, language string, provenance_type string, confidence string, "
+    "validation_status string, token_count int, orthography string, language_class string, retrieval_date string, generator string, original_text string"
+)
 
 
 def raw_records(s, d):
@@ -88,12 +91,11 @@ def required(s, d):
 
 
 def by_column(*cols):
+    """Counts of the values of each column, in one pass: a row is turned into one (column, value) per column."""
+
     def q(s, d):
-        out = None
-        for c in cols:
-            g = rec(s, d).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("column"), "value", "n")
-            out = g if out is None else out.union(g)
-        return out
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+        return rec(s, d).select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
 
     return q
 
@@ -137,9 +139,8 @@ def spelling_conflicts(s, d):
 
 
 def tiers(s, d):
-    """Works per provenance type, sorted: a bounded list of titles' first words is kept, all titles are counted."""
-    g = rec(s, d).select("provenance_type", "source_title").distinct()
-    return g.groupBy("provenance_type").agg(F.count("source_title").alias("works"), F.min("source_title").alias("first_work"), F.max("source_title").alias("last_work"))
+    """The works of each provenance type with their records: the list as rows, so that no task gathers a type's works."""
+    return rec(s, d).where("source_title is not null").groupBy("provenance_type", F.col("source_title").alias("work")).agg(F.count("*").alias("records"))
 
 
 def integrity(s, d):
@@ -276,9 +277,14 @@ def node_counts(s, d):
 
 
 def evidence_sources(s, d):
-    """Distinct evidence records per surface form, first and last; a form's evidence may be large, so it isn't gathered."""
-    e = load(s, d, "evidence_items").select("surface_form", "record_id").distinct()
-    return e.groupBy("surface_form").agg(F.count("*").alias("records"), F.min("record_id").alias("first"), F.max("record_id").alias("last"))
+    """The records that are evidence of each surface form, as rows, with the number of items; a form's evidence isn't gathered."""
+    return load(s, d, "evidence_items").groupBy("surface_form", "record_id").agg(F.count("*").alias("items"))
+
+
+def memorization_sample(s, d):
+    """The beginnings of the first hundred test records, in order of id."""
+    r = rec(s, d).where("split = 'test' and text is not null").select("record_id", F.substring("text", 1, 200).alias("prompt")).distinct()
+    return r.orderBy("record_id").limit(100)
 
 
 def admitted(s, d):
@@ -337,7 +343,7 @@ QUERIES = {
     "w7_trend": trend, "w8_every_tenth": sampled, "d1_first_wins": first_across_files, "d2_first_by_text": first_wins, "d3_across_sources": across_sources,
     "d4_union": lambda s, d: rec(s, d).select("record_id", "text").unionByName(raw_records(s, d).select("record_id", "text")).agg(F.count("*").alias("rows"), F.countDistinct("record_id").alias("ids")),
     "d5_set_operations": set_ops, "d6_split": documents_split, "d7_split_by_source": split_by_source, "d8_split_at_cuts": split_at_cuts, "d10_weights": weighted, "r2_status_pivot": status_pivot,
-    "q3_evidence_sources": evidence_sources, "q4_graph_nodes": node_counts, "q5_registry": registry, "q10_quality_rules": quality_rules, "v4_integrity_rules": integrity_rules,
+    "q3_evidence_sources": evidence_sources, "n17_memorization_sample": memorization_sample, "q4_graph_nodes": node_counts, "q5_registry": registry, "q10_quality_rules": quality_rules, "v4_integrity_rules": integrity_rules,
 }
 
 _K = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
@@ -392,7 +398,8 @@ SQL = {
     "g9_duplicates": f"SELECT count(*) AS records, count(DISTINCT {_K}) AS distinct_texts, records - distinct_texts AS duplicates, round(duplicates / records, 6) AS rate FROM corpus_records WHERE text IS NOT NULL",
     "g24_spelling_conflicts": "SELECT md5(text) AS text_hash, count(DISTINCT orthography) AS labels FROM corpus_records WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT orthography) > 1",
     "g26_coverage": "SELECT coalesce(source_type, '(none)') AS domain, count(*) AS records, count(*) FILTER (validation_status = 'validated') AS validated FROM corpus_records GROUP BY 1 UNION ALL SELECT '(all)', count(*), count(*) FILTER (validation_status = 'validated') FROM corpus_records",
-    "g29_tiers": "SELECT provenance_type, count(DISTINCT source_title) AS works, min(source_title) AS first_work, max(source_title) AS last_work FROM corpus_records GROUP BY 1",
+    "g29_tiers": "SELECT provenance_type, source_title AS work, count(*) AS records FROM corpus_records WHERE source_title IS NOT NULL GROUP BY 1, 2",
+    "n17_memorization_sample": "SELECT DISTINCT record_id, substring(text, 1, 200) AS prompt FROM corpus_records WHERE split = 'test' AND text IS NOT NULL ORDER BY record_id LIMIT 100",
     "g30_integrity": rf"SELECT count(*) AS records, count(*) FILTER ({_BLANK.format('text')}) AS empty_text, count(DISTINCT record_id) AS ids, count(*) FILTER ({_BLANK.format('source')} OR {_BLANK.format('source_title')} OR {_BLANK.format('source_url')}) AS missing_provenance, count(*) FILTER (provenance_type = 'generated' OR NOT {_BLANK.format('generator')}) AS generated, count(*) FILTER (regexp_matches(text, '(?i)\b(the|and|of)\b')) AS english_like FROM corpus_records",
     "g31_expansion": "SELECT round(count(*) FILTER (v2_phase = 'V2-2') / count(*) FILTER (v2_phase = 'V2-1'), 4) AS record_ratio, round(sum(length(text)) FILTER (v2_phase = 'V2-2') / sum(length(text)) FILTER (v2_phase = 'V2-1'), 4) AS char_ratio FROM corpus_records",
     "g32_purity": "SELECT CASE WHEN provenance_type = 'generated' THEN 'generated' WHEN language_class = 'TARGET_LANGUAGE' THEN 'analysed' ELSE 'set_aside' END AS status, count(*) AS records, count(DISTINCT text) AS texts FROM corpus_records GROUP BY 1",
@@ -408,7 +415,7 @@ SQL = {
     "d6_split": _split_sql(), "d7_split_by_source": _split_sql("source"), "d8_split_at_cuts": _split_sql().replace("floor(n * 0.8 + 1e-9) + floor(n * 0.1 + 1e-9)", "floor(n * (0.8 + 0.1) + 1e-9)"),
     "d10_weights": "SELECT record_id, CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 1.0 END::DOUBLE AS weight FROM corpus_records",
     "r2_status_pivot": "SELECT source_type, " + ", ".join(f"count(*) FILTER (validation_status = '{k}') AS {k}" for k in ("authoritative", "rejected", "uncertain", "validated")) + " FROM corpus_records GROUP BY 1",
-    "q3_evidence_sources": "SELECT surface_form, count(DISTINCT record_id) AS records, min(record_id) AS first, max(record_id) AS last FROM evidence_items GROUP BY 1",
+    "q3_evidence_sources": "SELECT surface_form, record_id, count(*) AS items FROM evidence_items GROUP BY 1, 2",
     "q4_graph_nodes": "SELECT 'records' AS node, count(DISTINCT record_id) AS n FROM corpus_records UNION ALL SELECT 'works', count(DISTINCT source_title) FROM corpus_records UNION ALL SELECT 'evidence', count(DISTINCT surface_form) FROM evidence_items UNION ALL SELECT 'sources', count(DISTINCT source) FROM corpus_records",
     "q5_registry": "SELECT DISTINCT record_id, source, sha256(text) AS source_hash FROM corpus_records",
     "q10_quality_rules": _RULES, 

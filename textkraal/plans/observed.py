@@ -24,18 +24,65 @@ def target_tokens(spark, sf_dir):
     return tk.word_tokens(target(spark, sf_dir), keep=("orthography",))
 
 
+#: Per family: what its observation ids start with, and its type (fixed values).
+FAMILIES = {
+    "agreement": ("AGR", "agreement"), "verb": ("VM", "verb_morphology"), "tam": ("TAM", "tense_aspect_mood"), "function_word": ("FW", "function_word"),
+    "modifier": ("MOD", "modifier"), "syntax": ("SYN", "syntax"), "word_formation": ("WF", "word_formation"), "negation": ("NEG", "negation"),
+}
+EVIDENCE = ["record_id", "source_work", "source_title", "orthography", "surface_form", "start", "end", "context"]
+
+
+def places(spark, sf_dir, tokens, key, k, both=False, around=80):
+    """The first k places of each key among tokens(key, record_id, pos), in order of record and position, as evidence: the
+    record, its work, the form, its span and `around` characters on either side. both: the form is the word and the next.
+
+    The keys must be of a fixed list, for their places are broadcast to the texts.
+    """
+    p = tk.first_k(tokens.select(key, "record_id", "pos"), key, ["record_id", "pos"], k)
+    r = load(spark, sf_dir, "corpus_records").where("language_class = 'TARGET_LANGUAGE' and text is not null").select("record_id", "text", "orthography", "source", "source_title")
+    x = r.join(F.broadcast(p), "record_id").withColumn("parts", found(F.col("text"), tk.PARTS))
+    at = 2 * F.col("pos") + F.when(F.get("parts", F.lit(0)).rlike(tk.LETTER), 0).otherwise(1)
+    x = x.withColumn("at", at).withColumn("start", F.length(F.array_join(F.slice("parts", 1, F.col("at")), "")))
+    part = lambda i: F.get("parts", F.col("at") + i)
+    form, length = (F.concat_ws(" ", part(0), part(2)), F.length(part(0)) + F.length(part(1)) + F.length(part(2))) if both else (part(0), F.length(part(0)))
+    x = x.withColumn("surface_form", form).withColumn("end", F.col("start") + length).withColumn("from", F.greatest(F.col("start") - around, F.lit(0)))
+    context = F.substring(F.col("text"), F.col("from") + 1, F.col("end") + around - F.col("from"))
+    fields = [F.col("record_id"), *[F.coalesce(c, F.lit(e)).alias(n) for c, n, e in (("source", "source_work", ""), ("source_title", "source_title", ""), ("orthography", "orthography", "uncertain"))]]
+    return x.select(key, "rank", *fields, "surface_form", "start", "end", context.alias("context")).distinct()
+
+
+def gathered(p, key):
+    """(key, evidence): the places of each key as an array in their order; at most k of them."""
+    g = p.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", *EVIDENCE))).alias("e"))
+    return g.select(key, F.transform("e", lambda x: F.struct(*[x[c].alias(c) for c in EVIDENCE])).alias("evidence"))
+
+
+def observations(spark, sf_dir, family, k=10):
+    """(observation_id, pattern_type, pattern, token_frequency, analysis_status, confidence, evidence) of a family."""
+    o = tk.observations(target_tokens(spark, sf_dir), family)
+    g = o.groupBy("pattern").agg(F.count("*").alias("token_frequency"))
+    e = gathered(places(spark, sf_dir, o, "pattern", k, both=family == "syntax"), "pattern")
+    start, kind = FAMILIES[family]
+    kind = F.when(F.col("pattern").startswith("copula") & F.lit(family == "tam"), "copula").when(F.col("pattern").startswith("neg") & F.lit(family == "tam"), "negation").otherwise(kind)
+    return g.join(e, "pattern").select(
+        F.concat(F.lit(start + "_"), F.upper("pattern")).alias("observation_id"), kind.alias("pattern_type"), "pattern", "token_frequency",
+        F.lit("OBSERVED").alias("analysis_status"), confidence_band(F.col("token_frequency")).alias("confidence"), "evidence",
+    )
+
+
 def _counts(family):
+    """A query of observations(), the evidence as JSON."""
+
     def q(spark, sf_dir):
-        o = tk.observations(target_tokens(spark, sf_dir), family)
-        return o.groupBy("pattern").agg(F.count("*").alias("token_frequency")).withColumn("confidence", confidence_band(F.col("token_frequency")))
+        return observations(spark, sf_dir, family).withColumn("evidence", F.to_json("evidence"))
 
     return q
 
 
-def evidence(spark, sf_dir, family="tam", k=10):
-    """The first k places of each pattern, in order of record and position."""
-    o = tk.observations(target_tokens(spark, sf_dir), family)
-    return tk.first_k(o.select("pattern", "record_id", "pos", "word"), "pattern", ["record_id", "pos"], k)
+def evidence(spark, sf_dir, k=10):
+    """The first k places of each pattern of every family, in order of record and position, in one pass."""
+    o = tk.all_observations(target_tokens(spark, sf_dir)).withColumn("key", F.concat_ws(":", "family", "pattern"))
+    return tk.first_k(o.select("key", "record_id", "pos", "word"), "key", ["record_id", "pos"], k)
 
 
 def review_tasks(spark, sf_dir):
@@ -46,10 +93,14 @@ def review_tasks(spark, sf_dir):
 
 
 def lexicon(spark, sf_dir):
+    """Each form with its id in order, tokens, ways of writing, confidence and the first three places, as record@position."""
     t = target_tokens(spark, sf_dir)
-    g = t.groupBy("low").agg(F.count("*").alias("frequency"), F.array_join(F.sort_array(F.collect_set("word")), "|").alias("forms"))
-    # ids over the whole sorted lexicon: rank within a range, added to the sizes of the ranges before
-    return g.select(F.col("low").alias("form"), "frequency", "forms", confidence_band(F.col("frequency")).alias("confidence"))
+    g = t.groupBy("low").agg(F.count("*").alias("frequency"), F.array_join(F.sort_array(F.collect_set("word")), "|").alias("forms"))  # ways of writing one word
+    p = tk.first_k(t.select("low", "record_id", "pos"), "low", ["record_id", "pos"], 3)
+    p = p.groupBy("low").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("@", "record_id", "pos").alias("p")))).alias("p"))
+    ids = lexicon_ids(spark, sf_dir).withColumnRenamed("form", "low")
+    g = g.join(p, "low").join(ids, "low")
+    return g.select("id", F.col("low").alias("form"), "frequency", "forms", confidence_band(F.col("frequency")).alias("confidence"), F.array_join(F.transform("p", lambda x: x["p"]), "|").alias("places"))
 
 
 def lexicon_ids(spark, sf_dir):
@@ -58,21 +109,45 @@ def lexicon_ids(spark, sf_dir):
     return g.select("form", F.concat(F.lit("LEX_OBS_"), F.lpad((F.col("at") + 1).cast("string"), 6, "0")).alias("id"))
 
 
-def prefix_inventory(spark, sf_dir):
+def prefix_observations(spark, sf_dir, forms):
+    """Per prefix its tokens, forms (the first `forms` in order), spelling and confidence."""
     t = target_tokens(spark, sf_dir).withColumn("prefix", first_prefix(F.col("low"), lx.PREFIXES)).where("prefix is not null")
     modern, old = F.count_if(F.col("orthography") == "modern"), F.count_if(F.col("orthography").isin("traditional", "mixed"))
-    g = t.groupBy("prefix").agg(F.count("*").alias("token_frequency"), F.countDistinct("low").alias("distinct_forms"), modern.alias("modern"), old.alias("historical"))
+    g = t.groupBy("prefix", "low").agg(F.count("*").alias("n"), modern.alias("modern"), old.alias("old"))
+    first = tk.first_k(g.select("prefix", "low"), "prefix", ["low"], forms).groupBy("prefix").agg(F.array_join(F.sort_array(F.collect_list("low")), "|").alias("observed_forms"))
+    g = g.groupBy("prefix").agg(F.sum("n").alias("token_frequency"), F.count("*").alias("distinct_forms"), F.sum("modern").alias("modern"), F.sum("old").alias("historical"))
     status = F.when((F.col("historical") > 0) & (F.col("modern") > 0), "variant").when(F.col("historical") > 0, "historical").otherwise("modern")
-    return g.withColumn("historical_status", status).withColumn("confidence", confidence_band(F.col("token_frequency")))
+    return g.join(first, "prefix").withColumn("historical_status", status).withColumn("confidence", confidence_band(F.col("token_frequency")))
+
+
+def prefix_inventory(spark, sf_dir):
+    return prefix_observations(spark, sf_dir, 100)
+
+
+def noun_classes(spark, sf_dir):
+    """Observations of noun-class prefixes: as prefix_observations(), with the ten prefixes that most records share with
+    each, and the first ten places as JSON."""
+    t = target_tokens(spark, sf_dir).withColumn("prefix", first_prefix(F.col("low"), lx.PREFIXES)).where("prefix is not null")
+    e = gathered(places(spark, sf_dir, t, "prefix", 10), "prefix").withColumn("evidence", F.to_json("evidence"))
+    w = Window.partitionBy("prefix_a").orderBy(F.desc("n"), "prefix_b")  # at most twelve partners
+    c = shared_records(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 10")
+    c = c.groupBy(F.col("prefix_a").alias("prefix")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("-", "prefix_a", "prefix_b").alias("p"), "n"))), lambda x: F.concat_ws(":", x["p"], x["n"].cast("string"))), "|").alias("cooccurring"))
+    g = prefix_observations(spark, sf_dir, 200).join(e, "prefix").join(c, "prefix", "left")
+    return g.withColumn("observation_id", F.concat(F.lit("NC_PREFIX_"), F.upper("prefix"))).withColumn("cooccurring", F.coalesce("cooccurring", F.lit("")))
+
+
+def shared_records(spark, sf_dir):
+    """(prefix_a, prefix_b, n): in how many records two prefixes stand; a record has at most 13, so its pairs are bounded."""
+    t = target_tokens(spark, sf_dir).select("record_id", first_prefix(F.col("low"), lx.PREFIXES).alias("p")).where("p is not null")
+    t = t.groupBy("record_id").agg(F.sort_array(F.collect_set("p")).alias("ps"))  # pairs within the row, without a join
+    t = t.select(F.explode("ps").alias("prefix_a"), "ps").select("prefix_a", F.explode("ps").alias("prefix_b")).where("prefix_a < prefix_b")
+    return t.groupBy("prefix_a", "prefix_b").agg(F.count("*").alias("n"))
 
 
 def cooccurrence(spark, sf_dir):
-    """Prefixes that stand in the same record; a record has at most 13, so its pairs are bounded."""
-    t = target_tokens(spark, sf_dir).select("record_id", first_prefix(F.col("low"), lx.PREFIXES).alias("p")).where("p is not null").distinct()
-    a, b = t.withColumnRenamed("p", "prefix_a"), t.withColumnRenamed("p", "prefix_b")
-    g = a.join(b, "record_id").where("prefix_a < prefix_b").groupBy("prefix_a", "prefix_b").agg(F.count("*").alias("n")).where("n >= 3")
+    """The five prefixes that most records share with each prefix, three records at least."""
     w = Window.partitionBy("prefix_a").orderBy(F.desc("n"), "prefix_b")
-    return g.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return shared_records(spark, sf_dir).where("n >= 3").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
 def verb_entries(spark, sf_dir):
@@ -137,13 +212,16 @@ def referential(spark, sf_dir):
 
 
 def distinct_words(spark, sf_dir):
-    """Three definitions of a distinct word."""
-    r = target(spark, sf_dir).select(F.lower("text").alias("text"))
-    out = None
-    for name, words in (("white_space", pieces(F.col("text"))), ("ascii", found(F.col("text"), "[a-z]+")), ("letters", found(F.col("text"), tk.WORD))):
-        c = r.select(F.explode(words).alias("w")).agg(F.countDistinct("w").alias("words")).select(F.lit(name).alias("definition"), "words")
-        out = c if out is None else out.union(c)
-    return out
+    """Three definitions of a distinct word, in one pass."""
+    t = F.lower("text")
+    kinds = [("white_space", pieces(t)), ("ascii", found(t, "[a-z]+")), ("letters", found(t, tk.WORD))]
+
+    def of(kind, words):
+        return F.transform(F.array_distinct(words), lambda x: F.struct(F.lit(kind).alias("definition"), x.alias("w")))
+
+    each = F.flatten(F.array(*[of(k, w) for k, w in kinds]))
+    r = target(spark, sf_dir).select(F.explode(each).alias("x")).select("x.definition", "x.w").distinct()
+    return r.groupBy("definition").agg(F.count("*").alias("words"))
 
 
 def ambiguity(spark, sf_dir):
@@ -160,7 +238,7 @@ QUERIES = {
     "g5_word_frequency": lambda s, d: target_tokens(s, d).groupBy("low").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "low").limit(50),
     "g6_char_frequency": char_frequency,
     "g7_punctuation": lambda s, d: target(s, d).select(F.explode(found(F.col("text"), r"[^\p{L}\p{N}\p{M}_\s]")).alias("mark")).groupBy("mark").agg(F.count("*").alias("n")),
-    "g7_letter_pairs": digraphs, "g10_lexicon": lexicon, "g11_prefix_inventory": prefix_inventory, "g12_noun_class_forms": prefix_inventory, "g13_cooccurrence": cooccurrence,
+    "g7_letter_pairs": digraphs, "g10_lexicon": lexicon, "g11_prefix_inventory": prefix_inventory, "g12_noun_class_forms": noun_classes, "g13_cooccurrence": cooccurrence,
     "g14_agreement": _counts("agreement"), "g15_verb_morphology": _counts("verb"), "g16_tam": _counts("tam"), "g17_function_words": _counts("function_word"),
     "g18_modifiers": _counts("modifier"), "g19_syntax": _counts("syntax"), "g20_word_formation": _counts("word_formation"), "g21_negation": _counts("negation"),
     "g22_verb_entries": verb_entries, "g23_derivations": derivations, "g25_prefix_ambiguity": ambiguity, "w1_first_evidence": evidence, "w2_lexicon_ids": lexicon_ids,
@@ -207,13 +285,36 @@ def _seen(family: str) -> str:
     return f"(SELECT *, unnest(list_filter([{', '.join(_KEYS[family])}], lambda x: x IS NOT NULL)) AS pattern FROM k)"
 
 
+def _placed(rows: str, key: str, k: int, both: bool = False) -> str:
+    """CTE p: the first k places of each key of rows(key, record_id, pos), and CTE e: their evidence as JSON."""
+    form = "parts[ix] || ' ' || parts[ix + 2]" if both else "parts[ix]"
+    length = "length(parts[ix]) + length(parts[ix + 1]) + length(parts[ix + 2])" if both else "length(parts[ix])"
+    return f"""p AS (SELECT {key}, record_id, pos, row_number() OVER (PARTITION BY {key} ORDER BY record_id, pos) AS rank FROM {rows} QUALIFY rank <= {k}),
+      q AS (SELECT DISTINCT {key}, rank, r.record_id, coalesce(source, '') AS source_work, coalesce(source_title, '') AS source_title, coalesce(orthography, 'uncertain') AS orthography, text, parts, 2 * pos + CASE WHEN regexp_matches(parts[1], '^[\\p{{L}}\\p{{Nl}}\\p{{No}}]') THEN 1 ELSE 2 END AS ix
+        FROM p JOIN (SELECT *, regexp_extract_all(text, '(?s)[\\p{{L}}\\p{{Nl}}\\p{{No}}]+(?:[-''][\\p{{L}}\\p{{Nl}}\\p{{No}}]+)*|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS parts FROM corpus_records WHERE language_class = 'TARGET_LANGUAGE' AND text IS NOT NULL) r USING (record_id)),
+      z AS (SELECT *, {form} AS surface_form, length(array_to_string(parts[1:ix - 1], '')) AS s, s + {length} AS f FROM q),
+      e AS (SELECT {key}, to_json(list(struct_pack(record_id := record_id, source_work := source_work, source_title := source_title, orthography := orthography, surface_form := surface_form, "start" := s, "end" := f,
+        context := substring(text, greatest(s - 80, 0) + 1, f + 80 - greatest(s - 80, 0))) ORDER BY rank))::VARCHAR AS evidence FROM z GROUP BY {key})"""
+
+
 def _counted(family: str) -> str:
-    return f"{TOK} SELECT pattern, count(*) AS token_frequency, {_BAND.format(n='count(*)')} FROM {_seen(family)} GROUP BY pattern"
+    start, kind = FAMILIES[family]
+    kind = f"CASE WHEN pattern LIKE 'copula%' THEN 'copula' WHEN pattern LIKE 'neg%' THEN 'negation' ELSE '{kind}' END" if family == "tam" else f"'{kind}'"
+    return f"""{TOK}, o AS (SELECT * FROM {_seen(family)}), {_placed('o', 'pattern', 10, family == 'syntax')}, g AS (SELECT pattern, count(*) AS token_frequency FROM o GROUP BY 1)
+      SELECT '{start}_' || upper(pattern) AS observation_id, {kind} AS pattern_type, pattern, token_frequency, 'OBSERVED' AS analysis_status, {_BAND.format(n='token_frequency')}, evidence FROM g JOIN e USING (pattern)"""
 
 
-_INV = f"""{TOK} SELECT p AS prefix, count(*) AS token_frequency, count(DISTINCT low) AS distinct_forms, count(*) FILTER (orthography = 'modern') AS modern,
+def _inventory(forms: int) -> str:
+    return f"""SELECT p AS prefix, count(*) AS token_frequency, count(DISTINCT low) AS distinct_forms, count(*) FILTER (orthography = 'modern') AS modern,
   count(*) FILTER (orthography IN ('traditional', 'mixed')) AS historical, CASE WHEN historical > 0 AND modern > 0 THEN 'variant' WHEN historical > 0 THEN 'historical' ELSE 'modern' END AS historical_status,
-  {_BAND.format(n='count(*)')} FROM k WHERE p IS NOT NULL GROUP BY p"""
+  array_to_string(list_sort(list(DISTINCT low))[1:{forms}], '|') AS observed_forms, {_BAND.format(n='count(*)')} FROM k WHERE p IS NOT NULL GROUP BY p"""
+
+
+_INV = f"{TOK} {_inventory(100)}"
+_NOUNS = f"""{TOK}, inv AS ({_inventory(200)}), pre AS (SELECT p AS prefix, record_id, pos FROM k WHERE p IS NOT NULL), {_placed('pre', 'prefix', 10)},
+  d AS (SELECT DISTINCT record_id, p FROM k WHERE p IS NOT NULL), c AS (SELECT a.p AS prefix, b.p AS other, count(*) AS n FROM d a JOIN d b USING (record_id) WHERE a.p < b.p GROUP BY 1, 2),
+  top AS (SELECT prefix, string_agg(prefix || '-' || other || ':' || n, '|' ORDER BY n DESC, other) AS cooccurring FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, other) <= 10) GROUP BY prefix)
+  SELECT inv.*, evidence, coalesce(cooccurring, '') AS cooccurring, 'NC_PREFIX_' || upper(prefix) AS observation_id FROM inv JOIN e USING (prefix) LEFT JOIN top USING (prefix)"""
 _LONGEST = sorted(lx.NOUN_CLASS, key=lambda p: -len(p))
 _FORM = "CASE " + " ".join(f"WHEN low LIKE '{p.replace('-', '')}%' THEN '{p}'" for p in lx.VERB_PATTERNS) + " END"
 _ANALYSIS = f"""(SELECT *, coalesce(n, v, replace(f, '-', '')) AS prefix, coalesce(substr(low, length(coalesce(n, v)) + 1), f) AS astem,
@@ -237,8 +338,10 @@ SQL = {
     "g6_char_frequency": f"SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM {TARGET}) WHERE ch <> '' GROUP BY ch ORDER BY n DESC, ch LIMIT 30",
     "g7_punctuation": rf"SELECT mark, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\p{{L}}\p{{N}}\p{{M}}_\s]')) AS mark FROM {TARGET}) GROUP BY mark",
     "g7_letter_pairs": f"{TOK} SELECT pair, count(*) AS words FROM (SELECT unnest(list_filter({_DIGRAPHS}, lambda x: contains(low, x))) AS pair FROM k) GROUP BY pair",
-    "g10_lexicon": f"{TOK} SELECT low AS form, count(*) AS frequency, array_to_string(list_sort(list(DISTINCT word)), '|') AS forms, {_BAND.format(n='count(*)')} FROM k GROUP BY low",
-    "g11_prefix_inventory": _INV, "g12_noun_class_forms": _INV,
+    "g10_lexicon": f"""{TOK}, g AS (SELECT low, count(*) AS frequency, array_to_string(list_sort(list(DISTINCT word)), '|') AS forms FROM k GROUP BY low),
+      h AS (SELECT low, string_agg(record_id || '@' || pos, '|' ORDER BY record_id, pos) AS places FROM (SELECT low, record_id, pos FROM k QUALIFY row_number() OVER (PARTITION BY low ORDER BY record_id, pos) <= 3) GROUP BY low)
+      SELECT 'LEX_OBS_' || lpad((row_number() OVER (ORDER BY low))::VARCHAR, 6, '0') AS id, low AS form, frequency, forms, {_BAND.format(n='frequency')}, places FROM g JOIN h USING (low)""",
+    "g11_prefix_inventory": _INV, "g12_noun_class_forms": _NOUNS,
     "g13_cooccurrence": f"""{TOK}, d AS (SELECT DISTINCT record_id, p FROM k WHERE p IS NOT NULL),
       g AS (SELECT a.p AS prefix_a, b.p AS prefix_b, count(*) AS n FROM d a JOIN d b USING (record_id) WHERE a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 3)
       SELECT *, row_number() OVER (PARTITION BY prefix_a ORDER BY n DESC, prefix_b) AS rank FROM g QUALIFY rank <= 5""",
@@ -246,7 +349,7 @@ SQL = {
     "g22_verb_entries": f"{TOK}, f AS (SELECT low, c AS concord, stem, count(*) AS frequency FROM k GROUP BY ALL HAVING count(*) >= 5) SELECT low, frequency, concord, stem, {_ends('stem', 1)} AS extension FROM f WHERE concord IS NOT NULL",
     "g23_derivations": f"{TOK} SELECT {_ends('low', 2)} AS suffix, count(DISTINCT low) AS forms, count(*) AS tokens FROM k WHERE suffix IS NOT NULL GROUP BY 1 HAVING count(DISTINCT low) >= 5",
     "g25_prefix_ambiguity": f"{TOK} SELECT DISTINCT record_id FROM (SELECT record_id FROM k WHERE low LIKE 'a%' AND length(low) > 3 ORDER BY record_id, pos LIMIT 50)",
-    "w1_first_evidence": f"{TOK} SELECT pattern, record_id, pos, word, row_number() OVER (PARTITION BY pattern ORDER BY record_id, pos) AS rank FROM {_seen('tam')} QUALIFY rank <= 10",
+    "w1_first_evidence": TOK + ", o AS (" + " UNION ALL ".join(f"SELECT '{f}:' || pattern AS key, record_id, pos, word FROM {_seen(f)}" for f in _KEYS) + ") SELECT key, record_id, pos, word, row_number() OVER (PARTITION BY key ORDER BY record_id, pos) AS rank FROM o QUALIFY rank <= 10",
     "w2_lexicon_ids": f"{TOK} SELECT form, 'LEX_OBS_' || lpad((row_number() OVER (ORDER BY form))::VARCHAR, 6, '0') AS id FROM (SELECT DISTINCT low AS form FROM k)",
     "w3_review_queue": f"{TOK}, q AS (SELECT low AS lemma, count(*) AS frequency FROM k WHERE length(low) >= 3 GROUP BY low ORDER BY 2 DESC, 1 LIMIT 250) SELECT lemma, frequency, unnest(['LEXICAL_LEMMA', 'MORPHOLOGY_SEGMENTATION', 'NOUN_CLASS_OR_AGREEMENT']) AS task_type FROM q",
     "q6_review_tasks": TOK + " " + " UNION ALL ".join(f"SELECT '{f}' AS family, pattern, count(*) AS token_frequency, NULL::VARCHAR AS proposed_analysis FROM {_seen(f)} GROUP BY pattern" + ("" if f == "modifier" else " HAVING count(*) >= 5") for f in _KEYS),

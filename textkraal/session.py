@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def get_session(app: str = "textkraal", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -55,11 +57,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset, on a local master only, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _FALLBACK:
         _FALLBACK[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="textkraal-")
     return _FALLBACK[sc.applicationId]
@@ -68,9 +72,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it back.
 
-    The files survive the loss of any executor. An empty df gives an empty table of the same schema.
+    The files survive the loss of any executor; release() deletes them. An empty df gives an empty table of the same schema.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textkraal/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that materialize() has written so far in this application, and say how many.
+
+    For a caller that has written its results: DataFrames that read those tables can't be read afterwards.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
