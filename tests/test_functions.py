@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textkraal.functions import language as fl
 from textkraal.functions.normalize import pieces
+from textkraal.operators import near
 from textkraal.operators import tokenizer as tz
 from textkraal.operators import tokens as tk
 from textkraal.operators import validation as va
@@ -150,7 +151,41 @@ def test_set_similarity_against_brute_force(spark):
         assert got == want
 
 
+def test_near_pairs_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abdeghiklmnost") for _ in range(rnd.randint(4, 8)))
+    base = [[word() for _ in range(rnd.choice([1, 6, 20, 60]))] for _ in range(30)]
+    texts = []
+    for w in base:
+        for k in range(4):
+            v = list(w)
+            if k:
+                v[rnd.randrange(len(v))] = word()
+            texts.append(" ".join(v))
+    texts += ["", "abc", "abcd" * 50, "abcd" * 50, None]
+    df = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(texts)], "k long, norm string, other boolean")
+    sets = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in enumerate(texts) if t and len(t) >= 5}
+    share = {(i, j): len(x & y) / len(x | y) for i, x in sets.items() for j, y in sets.items()}
+    for t in (0.8, 0.9):
+        got = {(r.a, r.b): r.jaccard for r in near.near_pairs(df, t, bands=24, width=5).collect()}
+        want = {p: v for p, v in share.items() if p[0] < p[1] and v > t}
+        assert got == want and want
+        got = {(r.a, r.b) for r in near.near_pairs(df, t, cross="other", bands=24, width=5, strict=False).collect()}
+        assert got == {p for p, v in share.items() if p[0] % 3 and p[1] % 3 == 0 and v >= t}
+    assert near.near_pairs(df.limit(0), 0.9).count() == 0
+
+
+def test_hot_terms_are_split(spark, monkeypatch):
+    monkeypatch.setattr(near, "HOT", 50)
+    family = "umphepheli wathenga iinduku emihadini kakhulu ngomso kwakhona nasemva koko"
+    df = spark.createDataFrame([(i, family + f" {i:02}", i % 2 == 0) for i in range(40)], "k long, norm string, other boolean")
+    assert near.near_pairs(df, 0.8).count() == 40 * 39 // 2
+    assert near.near_pairs(df, 0.8, cross="other").count() == 400
+
+
 def test_containing(spark):
     t = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz"), (2, "zzz"), (3, None)], "key int, text string")
-    p = spark.createDataFrame([(1, "defghijklmnopqr"), (2, "defghijklmnopqq"), (3, "abc")], "part_key int, part string")
-    assert [tuple(r) for r in containing(t, p).collect()] == [(1, 1)]
+    p = spark.createDataFrame([(1, "defghijklmnopqr"), (2, "defghijklmnopqq"), (3, "abc"), (4, ""), (5, None), (6, "zz")], "part_key int, part string")
+    assert sorted(tuple(r) for r in containing(t, p).collect()) == [(1, 1), (1, 3), (2, 6)]

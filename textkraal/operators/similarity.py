@@ -47,9 +47,15 @@ def set_similarity(left: DataFrame, right: DataFrame, threshold: float, left_key
 def containing(texts: DataFrame, parts: DataFrame, gram: int = 12) -> DataFrame:
     """(key, part_key) of the texts that contain a part. Inputs: texts(key, text), parts(part_key, part).
 
-    A part of at least `gram` characters meets only texts that hold its rarest gram; a shorter one can't be looked for
-    this way and takes no part.
+    A part meets only texts that hold its rarest gram, of `gram` characters or, where it is shorter, of 4 or 1. Empty
+    and null parts take no part.
     """
+    if gram > 1:
+        shorter = 4 if gram > 4 else 1
+        short = parts.where(F.length("part") < gram)
+        if not short.limit(1).isEmpty():
+            return containing(texts, parts.where(F.length("part") >= gram), gram=-gram).union(containing(texts, short, shorter))
+    gram = abs(gram)
     grams = lambda c: let(c, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - gram + 1, F.lit(1))), lambda i: F.substring(x, i, gram)))
     p = parts.where(F.length("part") >= gram).select("part_key", "part", F.explode(F.array_distinct(grams(F.col("part")))).alias("g"))
     wanted = p.select("g").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textkraal import lexicons as lx
 from textkraal.functions.language import found, old_letters
 from textkraal.functions.normalize import pieces
+from textkraal.operators import near
 from textkraal.operators import similarity as sim
 from textkraal.operators import tokenizer as tz
 from textkraal.operators import validation as va
@@ -112,18 +113,18 @@ def contained_items(s, d):
     return sim.containing(t, p).select(F.col("key").alias("doc_id"), F.col("part_key").alias("item_id"))
 
 
-def document_grams(s, d):
-    """One document, that of the smallest id, per distinct text with its character grams; near_classes() has the others."""
-    x = load(s, d, "documents").where("text is not null").select("doc_id", "text")
-    first = x.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return first.select("doc_id", sim.char_grams(F.col("text")).alias("items"))
+def _spaced(c):
+    """Lower case, white space as single spaces, trimmed."""
+    return F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
 
 
 def near_documents(s, d):
-    """Pairs of documents of different texts with over 0.9 of their 5-character pieces in common."""
-    g = materialize(document_grams(s, d), "grams")
-    p = sim.set_similarity(g.withColumnRenamed("doc_id", "a"), g.withColumnRenamed("doc_id", "b"), 0.9)
-    return p.where("a < b").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of documents of different texts with over 0.9 of their 5-character pieces in common.
+
+    One document, that of the smallest id, stands for each distinct text; near_classes() has the others.
+    """
+    x = load(s, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("k"))
+    return near.near_pairs(x.select("k", _spaced(F.col("text")).alias("norm")), 0.9).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def near_classes(s, d):
@@ -133,8 +134,8 @@ def near_classes(s, d):
     size = materialize(x.groupBy("h").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
     p = materialize(near_documents(s, d).select("a", "b"), "near")
     ends = p.union(p.select("b", "a")).toDF("class_id", "other")
-    near = ends.join(size.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("near"))
-    c = size.join(near, "class_id", "left").select("h", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    others = ends.join(size.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("near"))
+    c = size.join(others, "class_id", "left").select("h", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     return x.join(c, "h").select("doc_id", "class_id", "links")
 
 
@@ -161,12 +162,12 @@ def memorization(s, d):
 
 def split_leakage(s, d):
     """Pairs of different texts of two splits with over 0.9 of their 5-character pieces in common, and the nearest."""
-    r = rec(s, d).where("split is not null and length(text) >= 30").groupBy("split", "text").agg(F.min("record_id").alias("record_id"))
-    g = materialize(r.select("split", "record_id", sim.char_grams(F.col("text")).alias("items")), "grams")
+    r = rec(s, d).where("split is not null and length(text) >= 30").select("split", "text").distinct()
+    g = materialize(r.select("split", F.xxhash64("split", "text").alias("k"), _spaced(F.col("text")).alias("norm")), "splits")
     out = None
     for x, y in (("train", "validation"), ("train", "test"), ("validation", "test")):
-        a, b = (g.where(F.col("split") == k).select(F.col("record_id").alias(c), "items") for k, c in ((x, "a"), (y, "b")))
-        p = sim.set_similarity(a, b, 0.9).agg(F.count("*").alias("pairs"), F.round(F.max("jaccard"), 6).alias("nearest"))
+        p = near.near_pairs(g.where(F.col("split").isin(x, y)).withColumn("second", F.col("split") == y), 0.9, cross="second")
+        p = p.agg(F.count("*").alias("pairs"), F.round(F.max("jaccard"), 6).alias("nearest"))
         p = p.select(F.lit(f"{x}-{y}").alias("splits"), "pairs", "nearest")
         out = p if out is None else out.union(p)
     return out
