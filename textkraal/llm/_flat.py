@@ -4,36 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-MULT = np.uint64(0x9E3779B97F4A7C15)
-BASE = np.uint64(1_000_003)
+from textkraal.operators.near import BASE, codes_of, gram_hashes, mix
 
-
-def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts one after another, and the n + 1 offsets."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    off = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in texts], out=off[1:])
-    return flat, off
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * MULT
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def gram_hashes(flat: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k code points from each position on; the last k - 1 positions are left out."""
-    n = len(flat) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            h = h * BASE + flat[i : n + i].astype(np.uint64) + np.uint64(1)
-    return mix(h)
+__all__ = ["codes_of", "gram_hashes", "mix", "segment_hashes"]
 
 
 def segment_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -23,57 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkraal.functions.normalize import clean_key, spaced_letters_digits
-from textkraal.llm._flat import codes_of, gram_hashes, mix
+from textkraal.operators.near import DESCRIBED, candidates, describing, exact
 from textkraal.session import load, materialize
 
-MIN_CHARS, GRAM = 30, 5
+MIN_CHARS, GRAM, SIMILARITY = 30, 5, 0.8
 BANDS, WIDTH = 24, 5
 #: The map of the evaluation texts' terms has at least 16 bits a term; with more terms than MAP_BITS / 16 none is used,
 #: and all terms go through the shuffle. It is at most 16 MB.
 MAP_BITS = 1 << 26
-#: A term whose list gives more pairs than this is split by a salt.
-HOT = 4_000_000
-_ODD = (mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_ADD = (mix(np.arange(1001, BANDS * WIDTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, piece): the distinct pieces of each of at most 65,536 texts, as 48-bit hashes, by row."""
-    flat, off = codes_of(texts)
-    h = gram_hashes(flat, GRAM)
-    row = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(off))[: len(h)]
-    whole = np.arange(len(h)) + GRAM <= off[row.astype(np.int64) + 1]
-    key = np.sort((row[whole] << np.uint64(48)) | (h[whole] >> np.uint64(16)))
-    if len(key):
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
-
-
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text with the number of its pieces, their parities (256 bits) and its terms."""
-    for big in batches:
-        for at in range(0, big.num_rows, 1000):
-            b = big.slice(at, 1000)
-            rows, piece = _pieces(b.column("norm").to_pylist())  # texts of MIN_CHARS, so all have pieces
-            n = np.bincount(rows, minlength=b.num_rows)
-            begin = np.cumsum(n) - n
-            bit = piece & np.uint64(255)
-            parity = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == q, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), begin) for q in range(4)]
-            low = (mix(piece) >> np.uint64(32)).astype(np.uint32)
-            terms = np.zeros((b.num_rows, BANDS), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(BANDS):
-                    h = np.full(b.num_rows, k + 1, np.uint64)
-                    for f in range(k * WIDTH, (k + 1) * WIDTH):
-                        v = low * _ODD[f]
-                        v ^= v >> np.uint32(15)
-                        v += _ADD[f]
-                        v *= _ODD[f - 1]
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, begin))
-                    terms[:, k] = h
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(terms.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            cols = [*b.columns, pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in parity], lists]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n", "p0", "p1", "p2", "p3", "terms"])
 
 
 def _map(bits: int):
@@ -107,55 +64,6 @@ def _postings(shared):
     return run
 
 
-def _grams(s: str) -> set[str]:
-    return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
-
-
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact dot product of the 5-character pieces, as cosine and as share of the union."""
-    for big in batches:
-        for at in range(0, big.num_rows, 4000):
-            b = big.slice(at, 4000)
-            e, t = b.column("e_norm").to_pylist(), b.column("t_norm").to_pylist()
-            keys, sizes = [], []
-            for side in (e, t):
-                row, piece = _pieces(side)
-                sizes.append(np.bincount(row, minlength=b.num_rows))
-                keys.append((row.astype(np.uint64) << np.uint64(48)) | piece)
-            key = np.sort(np.concatenate(keys))
-            both = key[1:][key[1:] == key[:-1]]
-            dot = np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=b.num_rows)
-            union = sizes[0] + sizes[1] - dot
-            for i in np.flatnonzero(np.abs(5 * dot - 4 * union) <= 45):  # hashes may meet: near the limit the pieces themselves are compared
-                x, y = _grams(e[i]), _grams(t[i])
-                sizes[0][i], sizes[1][i], dot[i] = len(x), len(y), len(x & y)
-                union[i] = len(x) + len(y) - dot[i]
-            ok = np.flatnonzero(5 * dot >= 4 * union)
-            cols = [b.column(c).take(pa.array(ok)) for c in ("e1", "e2", "t1", "t2")]
-            cosine, jaccard = dot[ok] / np.sqrt(sizes[0][ok] * sizes[1][ok]), dot[ok] / union[ok]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(cosine), pa.array(jaccard)], names=["e1", "e2", "t1", "t2", "cosine", "jaccard"])
-
-
-def _candidates(p: DataFrame) -> DataFrame:
-    """(ek, tk): pairs of an evaluation and a train text that share a term and pass the bounds; repeated ones too."""
-    both = p.groupBy("term").agg(F.count_if(~F.col("train")).alias("e"), F.count_if("train").alias("t")).where("e > 0 and t > 0")
-    hot = both.select("term", F.ceil(F.col("e") * F.col("t") / HOT).cast("int").alias("parts")).where("parts > 1")
-    few = hot.limit(10_001).count()
-    salt = F.lit(0)
-    if few:
-        p = p.join(F.broadcast(hot) if few <= 10_000 else hot, "term", "left")
-        parts = F.coalesce("parts", F.lit(1))
-        salt = F.when(F.col("train"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod("k", parts).cast("int")))
-        p = p.select("*", F.explode(salt).alias("salt")).drop("parts")
-    else:
-        p = p.withColumn("salt", salt)
-    e, t = (p.where(w).select("term", "salt", *[F.col(c).alias(x + c) for c in ("k", "n", "p0", "p1", "p2", "p3")]) for x, w in (("e", "not train"), ("t", "train")))
-    total = F.col("en").cast("long") + F.col("tn")
-    differ = sum((F.bit_count(F.col(f"ep{q}").bitwiseXOR(F.col(f"tp{q}"))) for q in range(1, 4)), F.bit_count(F.col("ep0").bitwiseXOR(F.col("tp0"))))
-    sizes = 5 * F.least("en", "tn").cast("long") >= 4 * F.greatest("en", "tn").cast("long")
-    return e.join(t, ["term", "salt"]).where(sizes & (9 * differ <= total)).select("ek", "tk")
-
-
 def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records(record_id, text, split, source).
 
@@ -170,8 +78,8 @@ def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).where(F.col("record_id").isNotNull() & F.col("split").isin("train", "validation", "test") & (F.length("norm") >= MIN_CHARS))
     r = r.select("*", (F.col("split") == "train").alias("train"), F.xxhash64(F.lit(1), "norm").alias("k1"), F.xxhash64(F.lit(2), "norm").alias("k2"))
     members = r.select("record_id", "split", "source", "train", "k1", "k2")
-    kinds = "k1 long, k2 long, train boolean, norm string, n int, p0 long, p1 long, p2 long, p3 long, terms array<long>"
-    texts = materialize(r.select("k1", "k2", "train", "norm").dropDuplicates(["k1", "k2", "train"]).mapInArrow(_described, kinds), "p2texts")
+    each = r.select("k1", "k2", "train", "norm").dropDuplicates(["k1", "k2", "train"])
+    texts = materialize(each.mapInArrow(describing(GRAM, BANDS, WIDTH), f"k1 long, k2 long, train boolean, norm string, {DESCRIBED}"), "p2texts")
 
     small = texts.select("k1", "train", "n", "p0", "p1", "p2", "p3", "terms")
     terms = texts.where("not train").count() * BANDS
@@ -183,11 +91,11 @@ def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         words[got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         shared = spark.sparkContext.broadcast(words)
     p = small.mapInArrow(_postings(shared), "term long, k long, train boolean, n int, p0 long, p1 long, p2 long, p3 long")
-    near = materialize(_candidates(materialize(p, "p2terms")).distinct(), "p2near")
+    near = materialize(candidates(materialize(p, "p2terms"), SIMILARITY, "train").distinct(), "p2near")
     et = texts.where("not train").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("norm").alias("e_norm"))
     tt = texts.where("train").select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), F.col("norm").alias("t_norm"))
-    pairs = near.join(et, near.ek == et.e1).join(tt, F.col("tk") == tt.t1).select("e1", "e2", "t1", "t2", "e_norm", "t_norm")
-    links = pairs.mapInArrow(_exact, "e1 long, e2 long, t1 long, t2 long, cosine double, jaccard double")
+    pairs = near.join(et, near.a == et.e1).join(tt, F.col("b") == tt.t1).select("e1", "e2", "t1", "t2", "e_norm", "t_norm")
+    links = pairs.mapInArrow(exact(GRAM, SIMILARITY, ["e1", "e2", "t1", "t2"], "e_norm", "t_norm"), "e1 long, e2 long, t1 long, t2 long, cosine double, jaccard double")
     return members, materialize(links, "p2links")
 
 
