@@ -131,8 +131,8 @@ def p2_record_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("record_id", "split", F.hex("k1").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-SQL = {
-    "p2_found": """WITH n AS (
+#: CTEs of the texts k(t, id) of 30 characters and more, and of the links l(x, y) of evaluation and train texts.
+_LINKS = """WITH n AS (
       SELECT DISTINCT record_id, split = 'train' AS train, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS t
       FROM corpus_records WHERE split IN ('train', 'validation', 'test') AND record_id IS NOT NULL AND text IS NOT NULL
     ), k AS (SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT t FROM n WHERE length(t) >= 30)),
@@ -145,9 +145,16 @@ SQL = {
     cand AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b USING (g)
       WHERE a.id IN (SELECT id FROM side WHERE NOT train) AND b.id IN (SELECT id FROM side WHERE train) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
     o AS (SELECT x, y, count(*) AS o FROM cand JOIN g a ON a.id = x JOIN g b ON b.id = y AND b.g = a.g GROUP BY x, y),
-    l AS (SELECT x, y FROM o JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y WHERE 5 * o >= 4 * (cx.n + cy.n - o))
+    l AS (SELECT x, y FROM o JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y WHERE 5 * o >= 4 * (cx.n + cy.n - o))"""
+_MEMBERS = """, m AS (SELECT DISTINCT record_id, trim(lower(split)) AS split, nullif(trim(lower(source)), '') AS source, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS t
+      FROM corpus_records WHERE split IN ('train', 'validation', 'test') AND record_id IS NOT NULL AND text IS NOT NULL AND length(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g'))) >= 30)"""
+SQL = {
+    "p2_found": _LINKS + """
     SELECT DISTINCT least(e.record_id, t.record_id) AS record_id_a, greatest(e.record_id, t.record_id) AS record_id_b
     FROM l JOIN k kx ON kx.id = x JOIN k ky ON ky.id = y JOIN n e ON e.t = kx.t AND NOT e.train JOIN n t ON t.t = ky.t AND t.train
     WHERE e.record_id <> t.record_id""",
+    "p2_overlap_report": _LINKS + _MEMBERS + """, b AS (SELECT x, max(o.o = cx.n AND o.o = cy.n) AS same FROM l JOIN o USING (x, y) JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y GROUP BY x),
+    z AS (SELECT record_id, split, t, min(source) AS source FROM m WHERE split <> 'train' GROUP BY ALL)
+    SELECT split, coalesce(source, '(none)') AS source, count(*) AS records, count(b.x) AS overlapping, count(*) FILTER (same) AS same_pieces FROM z JOIN k USING (t) LEFT JOIN b ON b.x = k.id GROUP BY 1, 2""",
 }
 QUERIES = {"p2_found": p2_found, "p2_overlap_report": p2_overlap_report, "p2_record_links": p2_record_links}

@@ -269,4 +269,5 @@ SQL = {
     ), d AS (SELECT doc_id, {_BARE.format("text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
     SELECT DISTINCT doc_id, item_id FROM d JOIN p ON p <> '' AND contains(t, p)""",
 }
+SQL["p7_leaked_items"] = f"SELECT DISTINCT e.item_id, e.suite, coalesce(n, 0) AS documents FROM eval_items e LEFT JOIN (SELECT item_id, count(*) AS n FROM ({SQL['p7_found']}) GROUP BY 1) USING (item_id)"
 QUERIES = {"p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p7_clean_documents": p7_clean_documents}
