@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textkraal import lexicons as lx
+from textkraal import session
 from textkraal.functions import language as fl
 from textkraal.functions.normalize import pieces
 from textkraal.operators import near
@@ -10,8 +12,9 @@ from textkraal.operators import tokenizer as tz
 from textkraal.operators import tokens as tk
 from textkraal.operators import validation as va
 from textkraal.operators.components import connected_components
-from textkraal.operators.records import bounded_sample, first_of_each, hashed_split, upper_median
+from textkraal.operators.records import bounded_sample, first_of_each, hashed_split, upper_median, with_positions
 from textkraal.operators.similarity import containing, set_similarity
+from textkraal.plans import scalars
 
 
 def one(spark, expr, text):
@@ -75,7 +78,7 @@ def test_offsets_are_lossless(spark):
     [
         ("umntu", ("noun", "um", "ntu", "NC_001")), ("abantu", ("noun", "aba", "ntu", "NC_001")), ("imithetho", ("noun", "imi", "thetho", "NC_003")),
         ("amaXhosa", ("noun", "ama", "xhosa", "NC_005")), ("xyzqwerty99", ("unknown", None, None, None)), ("is", ("unknown", None, None, None)),
-        ("under", ("noun", "u", "nder", "NC_009")), ("ba-thetha", ("verb", "ba-", "thetha", "AGR_SUBJ_NC2")),
+        ("under", ("noun", "u", "nder", "NC_009")), ("abuyele", ("verb_pattern", "abuye", "a-buye", None)), ("afana", ("verb_pattern", "afana", "a-f-ana", None)), ("ba-thetha", ("verb", "ba-", "thetha", "AGR_SUBJ_NC2")),
     ],
 )
 def test_analysis(spark, word, want):
@@ -104,6 +107,58 @@ def test_tokenizer_round_trip(spark):
     assert m.collect() == tz.train(spark, tz.word_table(t.repartition(3)), merges=10).collect()
 
 
+def test_training_by_passes_gives_the_same_rules(spark):
+    words = spark.createDataFrame([("aaaa", 5), ("abab", 4), ("babab", 3), ("x", 9), ("ccab", 2), ("", 1)], "word string, n long")
+    a = [tuple(r) for r in tz.train(spark, words, merges=12).collect()]
+    assert a == [tuple(r) for r in tz.train(spark, words, merges=12, driver_words=0).collect()] and len(a) > 5
+    assert tz.train(spark, words.limit(0)).count() == 0
+
+
+def test_ids(spark):
+    v = spark.createDataFrame([("<unk>", 1), ("ab", 7), ("c", 8)], "token string, id long")
+    e = spark.createDataFrame([(1, ["ab", "c", "zz"]), (2, []), (3, None)], "k int, tokens array<string>")
+    assert {r.k: r.ids for r in tz.with_ids(e, v).collect()} == {1: [7, 8, 1], 2: [], 3: None}
+
+
+def test_positions(spark):
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as k", "'x' as at2").repartition(6)
+    assert {r.k: r.at for r in with_positions(df, ["k"]).collect()} == {i: i for i in range(1000)}
+    assert with_positions(df.limit(0), ["k"]).count() == 0
+
+
+def test_segments(spark, tmp_path):
+    body = "Umfazi uhamba ngendlela ende"  # a line that no header rule knows
+    lines = ["1936", body, "Ubomi bu", body + " b", "ib1", "q2w", body + " c", "ISAHLUKO IV", "k7z", "Umfula omkhulu uyagobhoza"]
+    spark.createDataFrame([("r", "\n".join(lines)), ("e", ""), ("n", None)], "record_id string, text string").write.parquet(f"{tmp_path}/corpus_records.parquet")
+    got = [r.segment for r in scalars.QUERIES["t11_segments"](spark, str(tmp_path)).orderBy("seg").collect()]
+    # short lines inside are dropped; one of up to three characters ends a segment, the next such line opens one
+    assert got == [f"{body}\n{body} b", f"q2w\n{body} c", "k7z\nUmfula omkhulu uyagobhoza"]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Ityala lamawele", ("Ityala Lamawele", "Novel", "novel_excerpt")), ("u-don jadu", ("U-Don Jadu", "Novel", "novel_excerpt")), ("apha u-don jadu", ("U-Don Jadu", "Novel", "novel_excerpt")),
+        ("apha udon jadu", ("Unknown Mqhayi", "Unclassified", "unclassified")), ("usamson", ("U-Samson", "Novel", "novel_excerpt")), ("Umntu", ("General Mqhayi", "Cultural Term", "cultural_content")),
+        ("", ("Unknown Mqhayi", "Unclassified", "unclassified")), (None, ("Unknown Mqhayi", "Unclassified", "unclassified")),
+    ],
+)
+def test_sections(spark, text, want):
+    assert tuple(one(spark, lambda c: fl.section(c, lx.LITERARY_SECTIONS, lx.NO_SECTION["literary"], lx.NO_SECTION["untitled"]), text)) == want
+
+
+def test_no_cluster_without_a_shared_folder(spark, monkeypatch):
+    class Context:
+        applicationId, master = "other", "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext, conf = Context, spark.conf
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session)
+
+
 def test_components(spark):
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "q")]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(chain, "a string, b string")).collect()}
