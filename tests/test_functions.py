@@ -139,7 +139,7 @@ def test_segments(spark, tmp_path):
     "text,want",
     [
         ("Ityala lamawele", ("Ityala Lamawele", "Novel", "novel_excerpt")), ("u-don jadu", ("U-Don Jadu", "Novel", "novel_excerpt")), ("apha u-don jadu", ("U-Don Jadu", "Novel", "novel_excerpt")),
-        ("apha udon jadu", ("Unknown Mqhayi", "Unclassified", "unclassified")), ("usamson", ("U-Samson", "Novel", "novel_excerpt")), ("Umntu", ("General Mqhayi", "Cultural Term", "cultural_content")),
+        ("apha udon jadu", ("Unknown Mqhayi", "Unclassified", "unclassified")), ("usamson", ("Unknown Mqhayi", "Unclassified", "unclassified")), ("Umntu", ("General Mqhayi", "Cultural Term", "cultural_content")),
         ("", ("Unknown Mqhayi", "Unclassified", "unclassified")), (None, ("Unknown Mqhayi", "Unclassified", "unclassified")),
     ],
 )
