@@ -147,13 +147,13 @@ def test_sections(spark, text, want):
     assert tuple(one(spark, lambda c: fl.section(c, lx.LITERARY_SECTIONS, lx.NO_SECTION["literary"], lx.NO_SECTION["untitled"]), text)) == want
 
 
-def test_no_cluster_without_a_shared_folder(spark, monkeypatch):
+def test_no_cluster_without_a_shared_folder():
     class Context:
         applicationId, master = "other", "spark://host:7077"
         getConf = staticmethod(lambda: {})
 
     class Session:
-        sparkContext, conf = Context, spark.conf
+        sparkContext, conf = Context, {}
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session)
